@@ -179,7 +179,7 @@ def incident_cards(
     """
     hero = hero_center(centers)
     members = cohort_members(onset_rows, hero.select("center"), window_s)
-    cascade = members.orderBy("node", "gpu_idx", "ts").limit(MAX_CASCADE).drop("center")
+    cascade = members.orderBy("node", "gpu_idx", "ts", "code").limit(MAX_CASCADE).drop("center")
     in_burst = cohort_members(onset_rows, centers.select("center"), window_s).select("gpu").distinct()
     rest = onset_rows.join(in_burst, "gpu", "left_anti")
     earliest = rest.groupBy("code").agg(
@@ -196,6 +196,7 @@ def incident_cards(
         F.when(F.col("_part") == 0, F.col("gpu_idx")),
         "ts",
         "gpu",
+        "code",
     )
     numbered = picked.withColumn("seq", F.row_number().over(order))
     lead_gpu = F.first(F.when(F.col("_part") == 0, F.col("gpu")), ignorenulls=True).over(
@@ -271,7 +272,7 @@ def fleet_snapshot(temp_now: DataFrame, util_now: DataFrame, hero_members: DataF
     """
     temp = temp_now.select("gpu", F.col("value").alias("temp"))
     util = util_now.select("gpu", F.col("value").alias("util"))
-    fault = hero_members.groupBy("gpu").agg(F.max_by("code", "ts").alias("xid"))
+    fault = hero_members.groupBy("gpu").agg(F.max_by("code", F.struct("ts", "code")).alias("xid"))
     cells = temp.join(util, "gpu", "full_outer").join(fault, "gpu", "full_outer")
     status = (
         F.when(F.col("xid").isNotNull(), "fault")
@@ -367,9 +368,11 @@ def hero_meta(onset_rows: DataFrame, hero: DataFrame, total_gpus: DataFrame, sou
     )
 
 
-def manifest(onset_rows: DataFrame, centers: DataFrame, cards: DataFrame, source: str, period_s: int = 15) -> DataFrame:
+def manifest(
+    onset_rows: DataFrame, centers: DataFrame, cards: DataFrame, source: str, period_s: int = 15, window_s: int = COHORT_SECONDS
+) -> DataFrame:
     """One row of product facts: totals, hero summary, incident count."""
-    hero = bursts(onset_rows, hero_center(centers)).limit(1)
+    hero = bursts(onset_rows, hero_center(centers), window_s).limit(1)
     spark = onset_rows.sparkSession
     return spark.range(1).select(
         F.lit("fleet-products/v1").alias("schema"),

@@ -264,6 +264,15 @@ _NEEDS = {
 }
 
 
+def half_even(expr: str, digits: int) -> str:
+    """SQL for rounding a double half to even on its decimal form, as ``bround`` does."""
+    scaled = f"CAST(CAST({expr} AS VARCHAR) AS DECIMAL(36, 17)) * {10**digits}"
+    whole = f"floor({scaled})"
+    rest = f"({scaled} - {whole})"
+    up = f"({rest} > 0.5 OR ({rest} = 0.5 AND {whole} % 2 = 1))"
+    return f"CAST(({whole} + CASE WHEN {up} THEN 1 ELSE 0 END) AS DOUBLE) / {10**digits}"
+
+
 def with_views(body: str, *names: str) -> str:
     """``body`` behind the common table expressions it names (and what those need)."""
     ordered: list[str] = []
