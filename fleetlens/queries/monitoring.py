@@ -17,8 +17,8 @@ MISS_H = 43200.0
 
 _THR = """so AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM scored),
  bq AS (SELECT unnest([0.01, 0.05, 0.10]::DOUBLE[]) AS budget),
- bp AS (SELECT budget, ((SELECT count(*) FROM scored) - 1) * (1.0::DOUBLE - budget) AS at FROM bq),
- thr AS (SELECT budget, lo.score + (hi.score - lo.score) * (at - floor(at)) AS threshold FROM bp JOIN so lo ON lo.i = CAST(floor(at) AS BIGINT) JOIN so hi ON hi.i = CAST(ceil(at) AS BIGINT)),
+ bp AS (SELECT budget, ((SELECT count(*) FROM scored) - 1) * (1.0::DOUBLE - budget) AS vp FROM bq),
+ thr AS (SELECT budget, lo.score + (hi.score - lo.score) * (vp - floor(vp)) AS threshold FROM bp JOIN so lo ON lo.i = CAST(floor(vp) AS BIGINT) JOIN so hi ON hi.i = CAST(ceil(vp) AS BIGINT)),
  flg AS (SELECT s.gpu, s.ref, s.horizon_s AS row_horizon_s, s.score, s.GPU_UTIL_max, t.budget, s.score >= t.threshold AS alert_flag FROM scored s, thr t),
  evt AS (SELECT DISTINCT gpu, ref + CAST(horizon_s * 1000000 AS BIGINT) AS t FROM scored WHERE label = 1)"""
 _GRID = """grd AS (SELECT e.gpu, e.t, b.budget, h.horizon_s, coalesce(bool_or(f.alert_flag), FALSE) AS caught FROM evt e CROSS JOIN bq b CROSS JOIN hz h
