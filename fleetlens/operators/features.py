@@ -100,20 +100,24 @@ def window_features(
     *,
     lookback_s: float,
     period_s: float = 15.0,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Features over ``[t_ref - lookback, t_ref]`` for each distinct ``(gpu, t_ref)``.
 
     One join on device and time bucket, then one aggregation that computes every metric's
     statistics; points without a reading in any metric give no row. Missing statistics are
-    NULL, counts and coverage of an empty metric are 0.
+    NULL, counts and coverage of an empty metric are 0. ``carry`` columns of ``points`` come
+    along; the points must then be distinct already.
     """
     span = int(lookback_s * MICROS)
-    probes = points.select("gpu", micros("t_ref").alias("_ref")).distinct().withColumn("_lo", F.col("_ref") - span)
+    probes = points.select("gpu", micros("t_ref").alias("_ref"), *carry)
+    probes = (probes if carry else probes.distinct()).withColumn("_lo", F.col("_ref") - span)
     samples = telemetry.where(F.col("metric").isin(list(metrics)) & F.col("value").isNotNull()).select(
         "gpu", "metric", micros("ts").alias("_at"), "value"
     )
     joined = range_join(probes, samples, keys=["gpu"], lo="_lo", hi="_ref", at="_at", width_us=span)
     stats = [c for m in metrics for c in _stat_columns(m, lookback_s, period_s)]
+    stats += [F.any_value(c).alias(c) for c in carry]
     return joined.groupBy("gpu", "_ref").agg(*stats).withColumn("t_ref", F.timestamp_micros("_ref")).drop("_ref")
 
 
@@ -132,14 +136,15 @@ def labelled_points(
     points = candidates(
         gauge_onsets, horizons_s=horizons_s, neg_offset_s=neg_offset_s, control_gpus=control_gpus
     )
-    feats = window_features(points, telemetry, metrics, lookback_s=lookback_s, period_s=period_s)
-    rows = points.join(feats, ["gpu", "t_ref"])
+    # horizons sharing a device and time share its window: computed once, spread out again
+    moments = points.groupBy("gpu", "t_ref").agg(F.collect_list(F.struct("horizon_s", "label")).alias("_rows"))
+    feats = window_features(moments, telemetry, metrics, lookback_s=lookback_s, period_s=period_s, carry=["_rows"])
+    rows = feats.withColumn("_row", F.explode("_rows")).select("*", "_row.*").drop("_row", "_rows")
     full = (
         rows.withColumn("node", node_of("gpu"))
         .withColumn("gpu_idx", index_of("gpu"))
         .withColumn("event_source", F.lit(EVENT_SOURCE))
         .withColumn("lookback_s", F.lit(float(lookback_s)))
-        .drop("positive")
     )
     return full.select(*POINT_META, *sorted(feature_columns(full.columns)))
 

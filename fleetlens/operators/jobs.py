@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.codes import FAIL_STATES
-from fleetlens.plans.intervals import MICROS, interval_moments, micros
+from fleetlens.plans.intervals import interval_moments, micros
 from fleetlens.plans.scan import ordered_scan
 
 JOB_PREFIXES = ("power_", "temp_", "util_")
@@ -41,9 +41,9 @@ def design_matrix(history: DataFrame, features: Sequence[str], keep: Sequence[st
         raise KeyError(f"unknown feature: {missing}")
     cols = [F.col(f) for f in features if f != "type"]
     if "type" in features:
-        values = sorted(r[0] for r in history.select("type").where("type IS NOT NULL").distinct().collect())
+        values = sorted(r[0] for r in history.select("type").where("type IS NOT NULL").distinct().limit(1001).collect())
         if len(values) > 1000:
-            raise ValueError(f"type is not a category: {len(values)} distinct values")
+            raise ValueError("type is not a category: more than 1,000 distinct values")
         cols += [F.coalesce((F.col("type") == v).cast("int"), F.lit(0)).alias(f"type_{v}") for v in values]
     label = F.col("state").isin(list(FAIL_STATES)).cast("int").alias("label")
     return history.select(*keep, *cols, label)
@@ -59,15 +59,15 @@ def sop_matrix(sop: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def job_features(jobs: DataFrame, telemetry: DataFrame, metrics: dict[str, str], *, block_s: int = 900) -> DataFrame:
+def job_features(jobs: DataFrame, telemetry: DataFrame, metrics: dict[str, str]) -> DataFrame:
     """Mean, max and population std of every reading fleet-wide during each job, zeros when there is none.
 
     ``jobs`` has ``start_ts, end_ts``; ``metrics`` maps output prefixes to metric names.
-    Jobs sharing an interval are computed once; readings enter as per-instant and per-block sums.
+    Jobs sharing an interval are computed once; see :func:`interval_moments`.
     """
     spans = jobs.select(micros("start_ts").alias("_lo"), micros("end_ts").alias("_hi"))
     samples = telemetry.where(F.col("metric").isin(list(metrics.values()))).select("metric", micros("ts").alias("_at"), "value")
-    found = interval_moments(spans, samples, lo="_lo", hi="_hi", at="_at", block_us=block_s * MICROS, by=["metric"])
+    found = interval_moments(spans, samples, lo="_lo", hi="_hi", at="_at", by=["metric"])
     mean = F.col("total") / F.col("n")
     std = F.sqrt(F.greatest(F.lit(0.0), F.col("total_sq") / F.col("n") - mean * mean))
     filled = F.col("n") > 0

@@ -14,6 +14,7 @@ from fleetlens.plans.scan import (
     ordered_scan,
     tie_key,
 )
+from fleetlens.session import materialize
 
 TRAIN_FRACTION = 0.70
 ALERT_BUDGETS = (0.01, 0.05, 0.10)
@@ -58,12 +59,16 @@ def ranking_metrics(scored: DataFrame, *, keys: Sequence[str] = (), score: str =
     Tied scores share an average rank and one precision step. Rows are counted per score
     first, so a score shared by many rows costs one row.
     """
-    keys = list(keys)
     counts = (
         scored.where(F.col(score).isNotNull())
         .groupBy(*keys, F.col(score).alias("_s"))
         .agg(F.count("*").alias("_n"), F.sum(F.col("label").cast("bigint")).alias("_p"))
     )
+    return _ranking_of_counts(counts, list(keys), **kw)
+
+
+def _ranking_of_counts(counts: DataFrame, keys: list[str], **kw) -> DataFrame:
+    """Ranking metrics from rows ``_n`` and positives ``_p`` per score ``_s``."""
     scanned = ordered_scan(counts, "_s", {"_cn": ("sum", "_n"), "_cp": ("sum", "_p")}, keys=keys, **kw)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_p").alias("pos"))
     if keys:
@@ -180,11 +185,17 @@ def unpivot_features(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 def single_feature_auc(test_rows: DataFrame, features: Sequence[str], **kw) -> DataFrame:
     """ROC-AUC of every raw feature on its own, missing values at the feature's median."""
     long = unpivot_features(test_rows, features)
-    mids = exact_medians(long, "value", keys=["feature"], **kw).select("feature", "median")
-    filled = long.join(F.broadcast(mids), "feature").select(  # one row per feature
-        "feature", "label", F.coalesce("value", "median").alias("score")
+    # everything below needs only rows and positives per distinct value
+    counts = materialize(
+        long.groupBy("feature", "value").agg(F.count("*").alias("_n"), F.sum(F.col("label").cast("bigint")).alias("_p")), "feature-values"
+    )
+    mids = exact_medians(counts, "value", keys=["feature"], weight="_n", **kw).select("feature", "median")
+    filled = (
+        counts.join(F.broadcast(mids), "feature")  # one row per feature
+        .groupBy("feature", F.coalesce("value", "median").alias("_s"))
+        .agg(F.sum("_n").alias("_n"), F.sum("_p").alias("_p"))
     )
-    return ranking_metrics(filled, keys=["feature"], **kw).select("feature", F.col("roc_auc").alias("auc"))
+    return _ranking_of_counts(filled, ["feature"], **kw).select("feature", F.col("roc_auc").alias("auc"))
 
 
 def leakage_probe(feature_auc: DataFrame, shuffled_auc: float | None) -> DataFrame:

@@ -12,6 +12,7 @@ from fleetlens.functions.timeutil import instant, relative_seconds, strict_insta
 from fleetlens.operators.telemetry import window_stats
 from fleetlens.plans.intervals import MICROS, exists_within, micros
 from fleetlens.plans.scan import ROWS_PER_BUCKET, interval_sums, ordered_scan
+from fleetlens.session import materialize
 
 
 def failed_jobs(jobs: DataFrame, states: Sequence[str] = codes.FAIL_STATES) -> DataFrame:
@@ -47,13 +48,13 @@ def jobs_near(incident_rows: DataFrame, center: str | float, window_s: float = 1
     return incident_rows.where((at != c) & (F.abs(at - c) <= span))
 
 
-def _type_codes(rows: DataFrame, col: str) -> DataFrame:
-    """Numbered vocabulary of ``col``; a missing value is a value of its own."""
-    vocabulary = rows.select(F.coalesce(col, F.lit("<null>")).alias("_name")).distinct().collect()
-    if len(vocabulary) > 100_000:
-        raise ValueError(f"{col} is not a vocabulary: {len(vocabulary)} distinct values")
-    names = sorted(r["_name"] for r in vocabulary)
-    return rows.sparkSession.createDataFrame(list(enumerate(names)), "_code bigint, _name string")
+def _numbered(rows: DataFrame, col: str) -> DataFrame:
+    """Numbered vocabulary of ``col``, refused when it is no vocabulary."""
+    found = rows.select(col).distinct().limit(100_001).collect()
+    if len(found) > 100_000:
+        raise ValueError(f"{col} is not a vocabulary: more than 100,000 distinct values")
+    names = sorted(r[col] for r in found)
+    return rows.sparkSession.createDataFrame(list(enumerate(names)), f"_code bigint, {col} string")
 
 
 def _single_value(n: str, s1: str, s2: str):
@@ -72,11 +73,13 @@ def correlated_failures(incident_rows: DataFrame, window_s: float = 120, *, rows
     Needs ``fail_ts`` and ``type``. Running totals over time, so a time at which a third of
     all jobs fail costs one row. The shared type is set only when all neighbours agree.
     """
-    names = _type_codes(incident_rows, "type")
-    coded = incident_rows.select(micros("fail_ts").alias("pos"), F.coalesce("type", F.lit("<null>")).alias("_name")).join(
-        F.broadcast(names), "_name"  # at most 100,000 names, checked above
+    # times are parsed once: from here on one row per distinct time and type
+    counted = materialize(
+        incident_rows.groupBy(micros("fail_ts").alias("pos"), F.coalesce("type", F.lit("<null>")).alias("_name")).agg(F.count("*").alias("n")),
+        "failures",
     )
-    points = coded.groupBy("pos", "_code").agg(F.count("*").alias("n")).select(
+    names = _numbered(counted, "_name")
+    points = counted.join(F.broadcast(names), "_name").select(  # at most 100,000 names, checked
         "pos", "n", (F.col("_code") * F.col("n")).alias("s1"), (F.col("_code") * F.col("_code") * F.col("n")).alias("s2")
     )
     span = int(window_s * MICROS)

@@ -12,8 +12,6 @@ from fleetlens.functions.ids import is_ip_named, is_pod_named
 from fleetlens.plans.intervals import interval_moments, micros, range_join
 from fleetlens.plans.scan import ordered_scan
 
-BLOCK_SECONDS = 900
-
 
 def value_at(telemetry: DataFrame, metric: str, gpu: str, ts: str) -> DataFrame:
     return telemetry.where((F.col("metric") == metric) & (F.col("gpu") == gpu) & (F.col("ts") == F.lit(ts).cast("timestamp"))).select("value")
@@ -93,7 +91,7 @@ def target_windows(telemetry: DataFrame, targets: DataFrame, metric: str | None
     return joined.select("target_id", "gpu", "metric", "ts", "value")
 
 
-def window_stats(telemetry: DataFrame, centers: DataFrame, *, metrics: Sequence[str], block_s: int = BLOCK_SECONDS) -> DataFrame:
+def window_stats(telemetry: DataFrame, centers: DataFrame, *, metrics: Sequence[str]) -> DataFrame:
     """Fleet-wide stats per ``(lo, hi)`` window and metric: ``samples, mean, max, min``.
 
     ``samples`` counts timestamps, the rest run over cells; a window without a single
@@ -101,7 +99,7 @@ def window_stats(telemetry: DataFrame, centers: DataFrame, *, metrics: Sequence[
     """
     spans = centers.select(micros("lo").alias("_lo"), micros("hi").alias("_hi")).distinct()
     samples = telemetry.where(F.col("metric").isin(list(metrics))).select("metric", micros("ts").alias("_at"), "value")
-    found = interval_moments(spans, samples, lo="_lo", hi="_hi", at="_at", block_us=block_s * 1_000_000, by=["metric"])
+    found = interval_moments(spans, samples, lo="_lo", hi="_hi", at="_at", by=["metric"])
     grid = spans.select("_lo", "_hi", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
     joined = grid.join(found.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}), ["_lo", "_hi", "metric"], "left")
     filled = F.coalesce(F.col("n"), F.lit(0)) > 0

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.plans.scan import ROWS_PER_BUCKET, ordered_scan
+from fleetlens.session import materialize
+
 MICROS = 1_000_000
 
 
@@ -126,6 +129,33 @@ def _merge_moments() -> list[Column]:
     ]
 
 
+FANOUT = 8
+
+
+def _blocks(first: Column, end: Column, levels: int) -> Column:
+    """Blocks ``(level, block)`` of 1, 8, 64… ranks that tile ``[first, end)`` exactly."""
+
+    def up(x: Column, level: int) -> Column:
+        return F.ceil(x / F.lit(FANOUT**level)).cast("bigint")
+
+    def down(x: Column, level: int) -> Column:
+        return F.floor(x / F.lit(FANOUT**level)).cast("bigint")
+
+    def span(level: int, lo: Column, hi: Column) -> Column:
+        numbers = F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(numbers, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
+
+    parts = []
+    for level in range(levels):
+        lo, hi = up(first, level), down(end, level)
+        # a coarser level takes the middle when it has a whole block there
+        lo2, hi2 = up(first, level + 1) * FANOUT, down(end, level + 1) * FANOUT
+        coarser = (lo2 < hi2) if level + 1 < levels else F.lit(False)
+        parts.append(span(level, lo, F.when(coarser, lo2).otherwise(hi)))
+        parts.append(span(level, F.when(coarser, hi2).otherwise(hi), hi))
+    return F.concat(*parts)
+
+
 def interval_moments(
     intervals: DataFrame,
     samples: DataFrame,
@@ -133,33 +163,57 @@ def interval_moments(
     lo: str,
     hi: str,
     at: str,
-    block_us: int,
     by: Sequence[str] = (),
     value: str = "value",
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Count, sum, square sum, min, max and instants of all samples inside each ``[lo, hi]``.
 
-    The interval has no equality key, so samples are first added up per instant and then
-    per block. Whole blocks inside an interval come from the block table, only the two
-    ragged ends look at instants. Returns one row per distinct interval and ``by`` group
-    that holds an instant.
+    The interval has no equality key, and a busy stretch may hold any share of the samples,
+    so nothing is joined by time. Instants are ranked over the whole table, every interval
+    becomes a rank range, and the range is tiled with blocks of 1, 8, 64… ranks whose
+    sums exist already: at most fourteen equality lookups per level, whatever lies inside.
+    Returns one row per distinct interval and ``by`` group that holds an instant.
     """
     by = list(by)
-    per_instant = (
+    per_instant = materialize(
         samples.groupBy(*by, F.col(at).alias("_at"))
         .agg(*cell_moments(value))
-        .withColumn("instants", F.lit(1).cast("bigint"))
-        .withColumn("_block", bucket_of(F.col("_at"), block_us))
+        .withColumn("instants", F.lit(1).cast("bigint")),
+        "instants",
     )
-    per_block = per_instant.groupBy(*by, "_block").agg(*_merge_moments())
     spans = intervals.select(F.col(lo).alias("lo"), F.col(hi).alias("hi")).distinct().where("lo <= hi")
-    first, last = bucket_of(F.col("lo"), block_us), bucket_of(F.col("hi"), block_us)
-    ends = F.array_distinct(F.array(first, last))
-    edge = spans.withColumn("_block", F.explode(ends))
-    inner = spans.where(last - first >= 2).withColumn("_block", F.explode(F.sequence(first + 1, last - 1)))
-    cols = [*by, "lo", "hi", *MOMENTS]
-    whole = inner.join(per_block, "_block").select(*cols)
-    ragged = (
-        edge.join(per_instant, "_block").where(F.col("_at").between(F.col("lo"), F.col("hi"))).select(*cols)
+    none = F.lit(None).cast("bigint")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    ticks = per_instant.select("_at").distinct().select("_at", F.lit(1).alias("_kind"), one.alias("_one"), none.alias("lo"), none.alias("hi"))
+    ends = spans.select(
+        "lo",
+        "hi",
+        F.explode(F.array(F.struct(F.col("lo").alias("p"), F.lit(0).alias("k")), F.struct(F.col("hi").alias("p"), F.lit(2).alias("k")))).alias("e"),
+    ).select(F.col("e.p").alias("_at"), F.col("e.k").alias("_kind"), zero.alias("_one"), "lo", "hi")
+    ranked = materialize(
+        ordered_scan(ticks.unionByName(ends), "_at", {"_upto": ("sum", "_one")}, then=["_kind"], rows_per_bucket=rows_per_bucket), "ranks"
+    )
+    ranges = (
+        ranked.where("_kind <> 1")
+        .groupBy("lo", "hi")
+        .agg(F.min(F.when(F.col("_kind") == 0, F.col("_upto"))).alias("_first"), F.max(F.when(F.col("_kind") == 2, F.col("_upto"))).alias("_end"))
+    )
+    # blocks longer than the longest range are never used
+    longest = ranges.agg(F.max(F.col("_end") - F.col("_first"))).first()[0] or 0
+    levels = 1
+    while FANOUT**levels <= longest:
+        levels += 1
+
+    places = ranked.where("_kind = 1").select("_at", (F.col("_upto") - 1).alias("_rank"))
+    level = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("_rank") / F.lit(FANOUT**k)).cast("bigint").alias("block")) for k in range(levels)]))
+    tiles = (
+        per_instant.join(places, "_at")
+        .withColumn("_b", level)
+        .groupBy(*by, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
+        .agg(*_merge_moments())
+    )
+    wanted = ranges.select("lo", "hi", F.explode(_blocks(F.col("_first"), F.col("_end"), levels)).alias("_b")).select(
+        "lo", "hi", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")
     )
-    return whole.unionByName(ragged).groupBy("lo", "hi", *by).agg(*_merge_moments())
+    return wanted.join(tiles, ["_level", "_block"]).groupBy("lo", "hi", *by).agg(*_merge_moments())

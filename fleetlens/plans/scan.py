@@ -140,15 +140,18 @@ def order_statistics(
     picks: Mapping[str, Column],
     *,
     keys: Sequence[str] = (),
+    weight: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Exact sorted-position lookups per key: ``picks`` maps a name to a 0-based index.
 
     An index expression may use ``_n`` (rows in the group). Equal values are counted
-    before the scan, so a heavy value is one row. NULL values are left out.
+    before the scan, so a heavy value is one row; ``weight`` names a count column when the
+    rows are counted already. NULL values are left out.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    size = F.sum(weight) if weight else F.count("*")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("_c"))
     scanned = ordered_scan(counts, value, {"_upto": ("sum", "_c")}, keys=keys, rows_per_bucket=rows_per_bucket)
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:

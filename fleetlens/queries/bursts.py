@@ -231,7 +231,7 @@ def hero_meta(spark, sf_dir):
         _CARDS
         + f""" SELECT 'fleet-products/v1' AS schema, 'events' AS source, {views.GRID_S} AS sample_period_seconds, (SELECT count(*) FROM gons) AS onset_total, (SELECT count(*) FROM ctr) AS burst_count,
         (SELECT count(*) FROM cards) AS incident_count, (SELECT strftime(make_timestamp(center), {ISO}) FROM hero) AS hero_center,
-        (SELECT count(*) FROM mem WHERE center = (SELECT center FROM hero)) AS hero_onsets""",
+        (SELECT nullif(count(*), 0) FROM mem WHERE center = (SELECT center FROM hero)) AS hero_onsets""",
         "centers",
     ),
 )

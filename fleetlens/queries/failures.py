@@ -154,7 +154,7 @@ def jobs_near_centers(spark, sf_dir):
     with_views(
         f"""WITH c AS (SELECT DISTINCT us FROM fjobs), m AS (SELECT unnest(['GPU_TEMP', 'POWER_USAGE']) AS metric)
         SELECT strftime(make_timestamp(c.us), {ISO}) AS fail_ts, CASE m.metric WHEN 'POWER_USAGE' THEN 'DCGM_FI_DEV_POWER_USAGE' ELSE 'DCGM_FI_DEV_GPU_TEMP' END AS field,
-        count(t.value) > 0 AS available, count(DISTINCT t.us) AS samples, coalesce(round(avg(t.value), 6), 0.0) AS mean,
+        count(t.value) > 0 AS available, count(DISTINCT t.us) AS samples, coalesce(round(avg(t.value), 9), 0.0) AS mean,
         coalesce(max(t.value), 0.0) AS max, coalesce(min(t.value), 0.0) AS min
         FROM c CROSS JOIN m LEFT JOIN tel t ON t.metric = m.metric AND t.us BETWEEN c.us - 3600000000 AND c.us + 3600000000 GROUP BY c.us, m.metric""",
         "fjobs",
@@ -164,7 +164,7 @@ def jobs_near_centers(spark, sf_dir):
 def incident_telemetry(spark, sf_dir):
     """Power and temperature in the hour either side of every failed job."""
     rows = rca.incident_telemetry(views.telemetry(spark, sf_dir), views.fleet_jobs(spark, sf_dir), 3600)
-    return rows.select(iso("fail_ts").alias("fail_ts"), "field", "available", "samples", F.round("mean", 6).alias("mean"), "max", "min")
+    return rows.select(iso("fail_ts").alias("fail_ts"), "field", "available", "samples", F.round("mean", 9).alias("mean"), "max", "min")
 
 
 @query(

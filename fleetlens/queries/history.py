@@ -83,7 +83,7 @@ def class_balance(spark, sf_dir):
 
 
 _AGG = ", ".join(
-    f"""coalesce(round(avg(t.value) FILTER (WHERE t.metric = '{m}'), 6), 0.0) AS {p}_mean, coalesce(max(t.value) FILTER (WHERE t.metric = '{m}'), 0.0) AS {p}_max,
+    f"""coalesce(round(avg(t.value) FILTER (WHERE t.metric = '{m}'), 9), 0.0) AS {p}_mean, coalesce(max(t.value) FILTER (WHERE t.metric = '{m}'), 0.0) AS {p}_max,
     coalesce(round(stddev_pop(t.value) FILTER (WHERE t.metric = '{m}'), 4), 0.0) AS {p}_std"""
     for p, m in (("power", "POWER_USAGE"), ("temp", "GPU_TEMP"), ("util", "GPU_UTIL"))
 )
@@ -94,7 +94,7 @@ def _features(spark, sf_dir):
     rows = ops.job_features(views.fleet_jobs(spark, sf_dir), views.telemetry(spark, sf_dir), _SIGNALS)
     out = rows.select("job_id", *[c for c in rows.columns if c.startswith(ops.JOB_PREFIXES)])
     for p in _SIGNALS:
-        out = out.withColumn(f"{p}_mean", F.round(f"{p}_mean", 6)).withColumn(f"{p}_std", F.round(f"{p}_std", 4))
+        out = out.withColumn(f"{p}_mean", F.round(f"{p}_mean", 9)).withColumn(f"{p}_std", F.round(f"{p}_std", 4))
     return out
 
 

@@ -157,7 +157,7 @@ def downsample(spark, sf_dir):
 
 
 _STATS = """SELECT strftime(c.lo, {iso}) AS lo, m.metric, CASE WHEN count(t.value) = 0 THEN 0 ELSE count(DISTINCT t.us) END AS samples,
- coalesce(round(avg(t.value), 6), 0.0) AS mean, coalesce(max(t.value), 0.0) AS max, coalesce(min(t.value), 0.0) AS min
+ coalesce(round(avg(t.value), 9), 0.0) AS mean, coalesce(max(t.value), 0.0) AS max, coalesce(min(t.value), 0.0) AS min
  FROM c CROSS JOIN m LEFT JOIN tel t ON t.metric = m.metric AND t.us BETWEEN c.us_lo AND c.us_hi GROUP BY 1, 2"""
 
 
@@ -176,7 +176,7 @@ def window_stats(spark, sf_dir):
     span = F.make_dt_interval(secs=F.lit(WINDOW_S))
     spans = views.onsets(spark, sf_dir).select((F.col("ts") - span).alias("lo"), (F.col("ts") + span).alias("hi"))
     stats = ops.window_stats(views.telemetry(spark, sf_dir), spans, metrics=["GPU_TEMP", "POWER_USAGE", "SM_ACTIVE"])
-    return stats.select(iso("lo").alias("lo"), "metric", "samples", F.round("mean", 6).alias("mean"), "max", "min")
+    return stats.select(iso("lo").alias("lo"), "metric", "samples", F.round("mean", 9).alias("mean"), "max", "min")
 
 
 @query(
