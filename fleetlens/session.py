@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     without it is refused, since a machine-local folder dies with its machine.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     if sc.getCheckpointDir() is None:
