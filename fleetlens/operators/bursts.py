@@ -373,6 +373,7 @@ def manifest(
 ) -> DataFrame:
     """One row of product facts: totals, hero summary, incident count."""
     hero = bursts(onset_rows, hero_center(centers), window_s).limit(1)
+    codes = F.transform_keys("codes", lambda code, n: code.cast("string"))
     spark = onset_rows.sparkSession
     return spark.range(1).select(
         F.lit("fleet-products/v1").alias("schema"),
@@ -380,6 +381,6 @@ def manifest(
         F.lit(period_s).alias("sample_period_seconds"),
         onset_rows.agg(F.count("*")).scalar().alias("onset_total"),
         centers.agg(F.count("*")).scalar().alias("burst_count"),
-        hero.select(F.struct("center", "n_onsets", "n_gpus", "n_nodes", "codes")).scalar().alias("hero"),
+        hero.select(F.struct("center", "n_onsets", "n_gpus", "n_nodes", codes.alias("codes"))).scalar().alias("hero"),
         cards.agg(F.count("*")).scalar().alias("incident_count"),
     )

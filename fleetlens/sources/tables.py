@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +69,7 @@ def input_provenance(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
                     F.lit("present").alias("state"),
                 )
             )
-        except Exception:  # an unreadable source is a row in the report, not a failure
+        except AnalysisException:  # an absent source is a row in the report, not a failure
             files = spark.createDataFrame(
                 [(metric, path, None, None, "absent")],
                 "metric string, path string, size bigint, modified timestamp, state string",
@@ -78,16 +79,17 @@ def input_provenance(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file, plus one digest over the files' digests in sorted order."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
-    whole = files.agg(
-        F.count("*").alias("n_files"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), "\n"), 256).alias("dataset_sha256"),
-    )
-    return whole.withColumn(
-        "dataset_sha256",
-        F.when(F.col("n_files") == 1, files.agg(F.max("sha256")).scalar()).otherwise(F.col("dataset_sha256")),
+    """SHA-256 of a dataset: the file's own digest, or a hash tree over the digests of many files."""
+    files = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d"))
+    groups = files.groupBy(F.substring("d", 1, 3).alias("g")).agg(
+        F.count("*").alias("n"),
+        F.max("d").alias("one"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("gd"),
     )
+    # at most 4,096 group digests meet here
+    tree = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "gd"))), lambda x: F.concat(x["g"], F.lit(":"), x["gd"])), "\n")
+    whole = groups.agg(F.sum("n").alias("n_files"), F.max("one").alias("_one"), F.sha2(tree, 256).alias("_tree"))
+    return whole.select("n_files", F.when(F.col("n_files") == 1, F.col("_one")).otherwise(F.col("_tree")).alias("dataset_sha256"))
 
 
 def first_available(spark: SparkSession, candidates: Sequence[tuple[str, str]]) -> DataFrame | None:
@@ -95,6 +97,6 @@ def first_available(spark: SparkSession, candidates: Sequence[tuple[str, str]])
     for path, badge in candidates:
         try:
             return spark.read.parquet(path).withColumn("data_source", F.lit(badge))
-        except Exception:  # absent: try the next
+        except AnalysisException:  # absent: try the next
             continue
     return None
