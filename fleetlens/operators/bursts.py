@@ -349,6 +349,15 @@ def incident_series(cards: DataFrame, telemetry: DataFrame, metrics: dict[str, s
     )
 
 
+def series_of(series: DataFrame, incident_id: str) -> DataFrame:
+    """One incident's series; an unknown id is an error that lists the known ones."""
+    found = series.where(F.col("id") == incident_id)
+    if found.isEmpty():
+        known = [r["id"] for r in series.select("id").distinct().orderBy("id").limit(100).collect()]
+        raise KeyError(f"no incident {incident_id!r}; known: {known}")
+    return found
+
+
 def hero_meta(onset_rows: DataFrame, hero: DataFrame, total_gpus: DataFrame, source: str, window_s: int = COHORT_SECONDS, minutes: int = META_MINUTES) -> DataFrame:
     """Board header: event window, burst time, fleet size, burst onsets and nodes (one row, NULLs without a burst)."""
     members = cohort_members(onset_rows, hero.select("center"), window_s)

@@ -107,20 +107,38 @@ def detect_misses(
     The features come from the latest row before the onset, the largest horizon on a tie.
     Scores of the window are available row by row from :func:`prior_scores`.
     """
-    feats = [c for c in flagged.columns if c not in (*POINT_META, score, "budget", "alert_flag", "is_train")] if features is None else list(features)
-    near = prior_scores(flagged, onset_rows, horizon_s, score=score)
-    pairs = [x for f in feats for x in (F.lit(f), F.col(f).cast("double"))]
-    snapshot = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
+    feats = (
+        [c for c in flagged.columns if c not in (*POINT_META, score, "budget", "alert_flag", "is_train")] if features is None else list(features)
+    )
+    # the window join carries no features: it finds which row was last, and only that row
+    # is looked up again. One number orders rows by time, then by horizon.
+    place = F.col("t_us").cast("decimal(38,0)") * F.lit(10**11).cast("decimal(12,0)") + F.col("h_ms").cast("decimal(38,0)")
+    narrow = flagged.select("gpu", "t_ref", "horizon_s", "budget", "alert_flag", score)
+    near = prior_scores(narrow, onset_rows, horizon_s, score=score).select(
+        "gpu", "ts", "budget", "alert_flag", micros("t_ref").alias("t_us"), (F.col("row_horizon_s") * 1000).cast("bigint").alias("h_ms")
+    )
     seen = near.groupBy("gpu", "ts", "budget").agg(
         F.count_if("alert_flag").alias("n_alerts_in_window"),
         F.count("*").alias("n_rows_in_window"),
-        F.max_by(snapshot, F.struct("t_ref", "row_horizon_s")).alias("pre_event_features"),
-        F.max_by(score, F.struct("t_ref", "row_horizon_s")).alias("last_score"),
+        F.max(place).alias("_last"),
+    )
+    pairs = [x for f in feats for x in (F.lit(f), F.col(f).cast("double"))]
+    latest = (
+        flagged.withColumn("t_us", micros("t_ref"))
+        .withColumn("h_ms", (F.col("horizon_s") * 1000).cast("bigint"))
+        .select(
+            "gpu",
+            "budget",
+            place.alias("_last"),
+            F.col(score).alias("last_score"),
+            (F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")).alias("pre_event_features"),
+        )
+        .dropDuplicates(["gpu", "budget", "_last"])
     )
     budgets = flagged.select("budget").distinct()
     levels = budgets.agg(F.collect_list("budget")).scalar()  # one entry per budget
     events = onset_rows.select("gpu", "ts").distinct().withColumn("budget", F.explode(levels))
-    joined = events.join(seen, ["gpu", "ts", "budget"], "left")
+    joined = events.join(seen, ["gpu", "ts", "budget"], "left").join(latest, ["gpu", "budget", "_last"], "left")
     alerts = F.coalesce("n_alerts_in_window", F.lit(0))
     return joined.select(
         "gpu",

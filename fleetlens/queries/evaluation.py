@@ -188,6 +188,28 @@ def feature_ranking(spark, sf_dir):
     return ops.feature_ranking(_feature_auc(spark, sf_dir)).withColumn("place", place.cast("bigint"))
 
 
+_MERGED = f"""lng AS (SELECT horizon_s, feature, label, v FROM (
+  {" UNION ALL ".join(f"SELECT horizon_s, '{f}' AS feature, label, CAST({f} AS DOUBLE) AS v FROM tst" for f in _FEATS)})),
+ md AS (SELECT horizon_s, feature, median(v) AS m FROM lng GROUP BY 1, 2),
+ fl AS (SELECT l.horizon_s, l.feature, l.label, coalesce(l.v, md.m) AS score FROM lng l JOIN md USING (horizon_s, feature) WHERE md.m IS NOT NULL),
+ rk AS (SELECT *, rank() OVER (PARTITION BY horizon_s, feature ORDER BY score) + (count(*) OVER (PARTITION BY horizon_s, feature, score) - 1) / 2.0::DOUBLE AS ar FROM fl),
+ fa AS (SELECT horizon_s, feature, round({_AUC}, 9) AS auc FROM rk GROUP BY 1, 2)"""
+
+
+@query(
+    "merged_ranking",
+    with_views(f"WITH {_CUT}, {_MERGED} SELECT feature, round(max(abs(auc - 0.5)), 9) AS separation FROM fa GROUP BY feature", "scored"),
+)
+def merged_ranking(spark, sf_dir):
+    """Each feature's most separating AUC over three rounds (one per horizon)."""
+    test = _test(spark, sf_dir)
+    rounds = None
+    for h in views.HORIZONS_S:
+        part = ops.single_feature_auc(test.where(F.col("horizon_s") == h), _FEATS).withColumn("auc", F.round("auc", 9))
+        rounds = part if rounds is None else rounds.unionByName(part)
+    return ops.merge_rankings(rounds).select("feature", F.round(F.abs(F.col("auc") - 0.5), 9).alias("separation"))
+
+
 _KEY = "gpu || '|' || node || '|' || gpu_idx || '|' || ref || '|' || CAST(horizon_s AS BIGINT) || '|' || label"
 
 

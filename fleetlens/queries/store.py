@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens.functions import ids
 from fleetlens.functions.timeutil import iso
 from fleetlens.operators import telemetry as ops
 from fleetlens.queries import views
 from fleetlens.queries.registry import query
 from fleetlens.queries.views import ISO, with_views
+from fleetlens.sources import tables
 from fleetlens.sources.wide_csv import header_frame, melt_lines
 
 WINDOW_S = 7200
@@ -220,3 +222,28 @@ def series_summary(spark, sf_dir):
 def exporter_fields(spark, sf_dir):
     seen = ops.exporter_view(views.telemetry(spark, sf_dir))
     return seen.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query(
+    "device_ids",
+    with_views(
+        """SELECT DISTINCT node || '-' || gpu_idx AS raw, CASE WHEN node = '10.0.0.3' THEN 'rack-a' ELSE node END AS node, gpu_idx AS idx,
+        CASE WHEN node = '10.0.0.3' THEN 'rack-a' ELSE node END || '#' || gpu_idx AS gpu, node || '-' || gpu_idx AS shown FROM ev""",
+        "ev",
+    ),
+)
+def device_ids(spark, sf_dir):
+    """Raw names parsed on the last dash, one node renamed through the alias table, and rendered back."""
+    raw = views.fleet_events(spark, sf_dir).select(F.concat_ws("-", "node", F.col("gpu_idx").cast("string")).alias("raw")).distinct()
+    parsed = raw.select("raw", ids.raw_node("raw").alias("node"), ids.raw_index("raw").alias("idx"))
+    shown = parsed.withColumn("shown", ids.dash_id(ids.canonical("node", "idx")))
+    alias = spark.createDataFrame([("10.0.0.3", "rack-a")], "foreign string, node string")
+    return ids.fold_alias(shown, alias).withColumn("gpu", ids.canonical("node", "idx"))
+
+
+@query("input_files")
+def input_files(spark, sf_dir):
+    """Files, sizes and states behind the tables this package reads."""
+    names = ("events", "orders", "documents", "embeddings", "labels", "conversations")
+    files = tables.input_provenance(spark, {n: f"{sf_dir}/{n}.parquet" for n in names})
+    return files.groupBy("metric", "state").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))

@@ -68,5 +68,9 @@ def test_series_without_readings_is_empty(spark, onsets_of):
     centers = ops.burst_centers(onset_rows, min_onsets=2)
     cards = ops.incident_cards(onset_rows, centers)
     tel = spark.createDataFrame([(at(60), "n#0", "GPU_TEMP", 50.0), (at(600), "n#0", "GPU_TEMP", 60.0)], "ts timestamp, gpu string, metric string, value double")
-    got = {r.gpu: r.series for r in ops.incident_series(cards, tel, {"temp": "GPU_TEMP", "power": "POWER_USAGE"}).collect()}
+    series = ops.incident_series(cards, tel, {"temp": "GPU_TEMP", "power": "POWER_USAGE"})
+    got = {r.gpu: r.series for r in series.collect()}
+    assert ops.series_of(series, "INC-002").first()["gpu"] == "n-1"
+    with pytest.raises(KeyError, match="INC-001.*INC-002"):
+        ops.series_of(series, "INC-404")
     assert [p.value for p in got["n-0"].temp] == [50.0] and got["n-0"].power == [] and got["n-1"].temp == []
