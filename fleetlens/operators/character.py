@@ -194,11 +194,11 @@ def delta_summary(deltas: DataFrame) -> DataFrame:
 
 def prefault_windows(telemetry: DataFrame, onset_rows: DataFrame, baseline_s: int) -> DataFrame:
     """Readings in ``[t - baseline, t)`` of each onset; overlapping windows each keep their own copy."""
-    points = onset_rows.select(
-        "gpu",
-        micros("ts").alias("_t"),
-        (micros("ts") - baseline_s * MICROS).alias("_lo"),
-        (micros("ts") - 1).alias("_hi"),
+    points = (
+        onset_rows.select("gpu", micros("ts").alias("_t"))
+        .distinct()
+        .withColumn("_lo", F.col("_t") - baseline_s * MICROS)
+        .withColumn("_hi", F.col("_t") - 1)
     )
     samples = telemetry.where("value IS NOT NULL").select("gpu", "metric", micros("ts").alias("_at"), "value")
     return range_join(points, samples, keys=["gpu"], lo="_lo", hi="_hi", at="_at", width_us=baseline_s * MICROS).select(

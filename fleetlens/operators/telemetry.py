@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import codes
 from fleetlens.functions.ids import is_ip_named, is_pod_named
+from fleetlens.functions.timeutil import on_grid
 from fleetlens.plans.intervals import interval_moments, micros, range_join
 from fleetlens.plans.scan import ordered_scan
 
@@ -80,6 +81,22 @@ def downsample_timestamps(telemetry: DataFrame, stride: int, rows_per_bucket: in
     return telemetry.where("value IS NOT NULL").join(kept, ["metric", "ts"], "left_semi")
 
 
+def resample(telemetry: DataFrame, period_s: int) -> DataFrame:
+    """The last reading per device, metric and sampling instant.
+
+    Afterwards a device has at most ``span / period_s`` readings of a metric, however busy
+    the source was; joins of windows to readings by device rely on that bound. Readings
+    are reduced before the shuffle.
+    """
+    cell = on_grid("ts", period_s)
+    seen = telemetry.where("value IS NOT NULL")
+    return (
+        seen.groupBy("gpu", "node", "gpu_idx", "metric", cell.alias("_cell"))
+        .agg(F.max_by("value", "ts").alias("value"))
+        .select(F.col("_cell").alias("ts"), "node", "gpu_idx", "gpu", "metric", "value")
+    )
+
+
 def target_windows(telemetry: DataFrame, targets: DataFrame, metric: str | None = None, *, width_s: int = 360) -> DataFrame:
     """Readings of each target ``(target_id, gpu, lo, hi)`` inside its own closed window."""
     readings = telemetry.where("value IS NOT NULL")

@@ -181,19 +181,19 @@ def board_counts(spark, sf_dir):
     with_views(
         _CARDS
         + f""", s AS (SELECT c.id, c.us AS center, c.gpu, t.metric, string_agg(strftime(make_timestamp(t.us), {ISO}) || '=' || printf('%.2f', t.value), ';' ORDER BY t.us) AS pts
-        FROM cards c JOIN tel t ON t.gpu = c.gpu AND t.us BETWEEN c.us - {SERIES_S * 1000000} AND c.us + {SERIES_S * 1000000} GROUP BY 1, 2, 3, 4)
+        FROM cards c JOIN gtel t ON t.gpu = c.gpu AND t.us BETWEEN c.us - {SERIES_S * 1000000} AND c.us + {SERIES_S * 1000000} GROUP BY 1, 2, 3, 4)
         SELECT c.id, replace(c.gpu, '#', '-') AS gpu, strftime(make_timestamp(c.us), {ISO}) AS center_ts,
         coalesce(max(s.pts) FILTER (WHERE metric = 'GPU_TEMP'), '') AS temp, coalesce(max(s.pts) FILTER (WHERE metric = 'POWER_USAGE'), '') AS power, coalesce(max(s.pts) FILTER (WHERE metric = 'GPU_UTIL'), '') AS util
         FROM cards c LEFT JOIN s ON s.id = c.id GROUP BY c.id, c.gpu, c.us""",
         "centers",
-        "tel",
+        "gtel",
     ),
 )
 def incident_series(spark, sf_dir):
     """Temperature, power and utilisation series around each card's onset."""
     rows = ops.incident_series(
         views.cards(spark, sf_dir),
-        views.telemetry(spark, sf_dir),
+        views.grid_telemetry(spark, sf_dir),
         {"temp": "GPU_TEMP", "power": "POWER_USAGE", "util": "GPU_UTIL"},
         SERIES_S,
     )

@@ -18,22 +18,18 @@ from fleetlens.queries.views import ISO, with_views
 def point_candidates(spark, sf_dir):
     """Positives, same-device negatives and time-matched controls after the leakage guard."""
     rows = ops.candidates(
-        views.onsets(spark, sf_dir), horizons_s=views.HORIZONS_S, neg_offset_s=views.NEG_OFFSET_S, control_gpus=views.CONTROL_GPUS
+        views.grid_onsets(spark, sf_dir), horizons_s=views.HORIZONS_S, neg_offset_s=views.NEG_OFFSET_S, control_gpus=views.CONTROL_GPUS
     )
     return rows.select("gpu", iso("t_ref").alias("t_ref"), "horizon_s", F.col("positive").cast("int").alias("positive"), "label")
 
 
-def _rounded(metric):
-    return [f"{metric}_{s}" for s in ("coverage", "mean", "std", "delta", "slope")]
-
-
-_ROUND = [c for m in views.FEATURE_METRICS for c in _rounded(m)]
+_ROUND = {f"{m}_{s}": d for m in views.FEATURE_METRICS for s, d in (("coverage", 9), ("mean", 9), ("std", 9), ("delta", 9), ("slope", 12))}
 
 
 def labelled(spark, sf_dir):
     return ops.labelled_points(
-        views.onsets(spark, sf_dir),
-        views.telemetry(spark, sf_dir),
+        views.grid_onsets(spark, sf_dir),
+        views.grid_telemetry(spark, sf_dir),
         metrics=views.FEATURE_METRICS,
         horizons_s=views.HORIZONS_S,
         lookback_s=views.LOOKBACK_S,
@@ -46,13 +42,13 @@ def labelled(spark, sf_dir):
 @query(
     "labelled_points",
     with_views(
-        f"SELECT * EXCLUDE (ref) REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _ROUND)}), strftime(make_timestamp(ref), {ISO}) AS t_ref FROM pts", "pts"
+        f"SELECT * EXCLUDE (ref) REPLACE ({', '.join(f'round({c}, {d}) AS {c}' for c, d in _ROUND.items())}), strftime(make_timestamp(ref), {ISO}) AS t_ref FROM pts", "pts"
     ),
 )
 def labelled_points(spark, sf_dir):
     """The whole labelled dataset with ten features per metric."""
     rows = labelled(spark, sf_dir)
-    return rows.select(*[iso(c).alias(c) if c == "t_ref" else F.round(c, 6).alias(c) if c in _ROUND else F.col(c) for c in rows.columns])
+    return rows.select(*[iso(c).alias(c) if c == "t_ref" else F.round(c, _ROUND[c]).alias(c) if c in _ROUND else F.col(c) for c in rows.columns])
 
 
 @query(

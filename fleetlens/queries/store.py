@@ -122,29 +122,41 @@ def requested_metrics(spark, sf_dir):
     ),
 )
 def fleet_reading(spark, sf_dir):
-    """Every device's hourly temperature at one instant."""
+    """Every device's hourly temperature reading at one instant."""
     return ops.fleet_reading(views.grid_telemetry(spark, sf_dir), "GPU_TEMP", "2024-01-10 12:00:00").select("gpu", "value")
 
 
 @query(
     "target_windows",
     with_views(
-        f"""SELECT o.gpu, strftime(o.ts, {ISO}) AS onset, t.metric, strftime(t.ts, {ISO}) AS ts, t.value FROM ons o JOIN tel t
+        f"""SELECT o.gpu, strftime(o.ts, {ISO}) AS onset, t.metric, strftime(t.ts, {ISO}) AS ts, t.value FROM (SELECT DISTINCT gpu, ts, us FROM gons) o JOIN gtel t
         ON t.gpu = o.gpu AND t.us BETWEEN o.us - 10800000000 AND o.us + 10800000000""",
-        "ons",
-        "tel",
+        "gons",
+        "gtel",
     ),
 )
 def target_windows(spark, sf_dir):
-    """Readings of the faulting device within three hours of each onset."""
+    """Hourly readings of the faulting device within three hours of each onset."""
     span = F.expr("INTERVAL 3 HOURS")
-    targets = views.onsets(spark, sf_dir).select(
-        F.struct("gpu", "ts").alias("target_id"), "gpu", (F.col("ts") - span).alias("lo"), (F.col("ts") + span).alias("hi")
+    targets = (
+        views.grid_onsets(spark, sf_dir)
+        .select("gpu", "ts")
+        .distinct()
+        .select(F.struct("gpu", "ts").alias("target_id"), "gpu", (F.col("ts") - span).alias("lo"), (F.col("ts") + span).alias("hi"))
     )
-    found = ops.target_windows(views.telemetry(spark, sf_dir), targets, width_s=21600)
+    found = ops.target_windows(views.grid_telemetry(spark, sf_dir), targets, width_s=21600)
     return found.select("gpu", iso("target_id.ts").alias("onset"), "metric", iso("ts").alias("ts"), "value")
 
 
+@query(
+    "resample",
+    with_views(f"SELECT gpu, metric, strftime(ts, {ISO}) AS ts, value FROM gtel", "gtel"),
+)
+def resample(spark, sf_dir):
+    """The last reading per device, metric and hour."""
+    return views.grid_telemetry(spark, sf_dir).select("gpu", "metric", iso("ts").alias("ts"), "value")
+
+
 @query(
     "downsample",
     with_views(

@@ -15,7 +15,7 @@ from fleetlens.functions.timeutil import on_grid
 from fleetlens.operators import onsets as onset_ops
 from fleetlens.operators.bursts import burst_centers, incident_cards
 from fleetlens.operators.features import labelled_points
-from fleetlens.operators.telemetry import rename_metrics
+from fleetlens.operators.telemetry import rename_metrics, resample
 from fleetlens.session import derived_table
 
 METRIC_OF_EVENT = {
@@ -81,12 +81,12 @@ def grid_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly mean reading per device and metric."""
-    return (
-        telemetry(spark, sf_dir)
-        .groupBy(on_grid("ts", GRID_S).alias("ts"), "node", "gpu_idx", "gpu", "metric")
-        .agg(F.round(F.avg("value"), 6).alias("value"))
-    )
+    """The last reading per device, metric and hour.
+
+    A user may hold any share of the events; on the grid a device has at most one reading
+    per metric and hour, as a sensor does.
+    """
+    return resample(telemetry(spark, sf_dir), GRID_S)
 
 
 def centers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +143,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         sf_dir,
         "points",
         lambda: labelled_points(
-            onsets(spark, sf_dir),
-            telemetry(spark, sf_dir),
+            grid_onsets(spark, sf_dir),
+            grid_telemetry(spark, sf_dir),
             metrics=FEATURE_METRICS,
             horizons_s=HORIZONS_S,
             lookback_s=LOOKBACK_S,
@@ -177,11 +177,11 @@ _ONS = """ons AS (SELECT ts, us, node, gpu_idx, gpu, code FROM (SELECT *, lag(co
   FROM gauge WINDOW w AS (PARTITION BY gpu ORDER BY ts)) WHERE code <> 0 AND rn > 1 AND (prev IS NULL OR prev = 0))"""
 _GONS = f"""gons AS (SELECT us - us % {GRID_S * 1000000} AS us, make_timestamp(us - us % {GRID_S * 1000000}) AS ts,
   node, gpu_idx, gpu, code FROM ons)"""
-_GTEL = f"""gtel AS (SELECT us - us % {GRID_S * 1000000} AS us, node, gpu_idx, gpu, metric, round(avg(value), 6) AS value
-  FROM tel GROUP BY 1, 2, 3, 4, 5)"""
+_GTEL = f"""gtel AS (SELECT us - us % {GRID_S * 1000000} AS us, make_timestamp(us - us % {GRID_S * 1000000}) AS ts, node, gpu_idx, gpu, metric,
+  arg_max(value, us) AS value FROM tel WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6)"""
 _H = ", ".join(str(h) for h in HORIZONS_S)
 _CAND = f"""hz AS (SELECT unnest([{_H}]::DOUBLE[]) AS horizon_s),
-o2 AS (SELECT DISTINCT gpu, us FROM ons),
+o2 AS (SELECT DISTINCT gpu, us FROM gons),
 pos AS (SELECT gpu, us - CAST(horizon_s * 1000000 AS BIGINT) AS ref, horizon_s, 1 AS positive FROM o2, hz),
 neg AS (SELECT gpu, us - {int(NEG_OFFSET_S * 1e6)} AS ref, horizon_s, 0 AS positive FROM o2, hz),
 ctl AS (SELECT c.gpu, p.ref, p.horizon_s, 0 AS positive FROM (SELECT DISTINCT ref, horizon_s FROM pos) p,
@@ -212,7 +212,7 @@ def _stat_sql(metric: str) -> str:
 
 
 _PTS = f"""feat AS (SELECT c.gpu, c.ref, {", ".join(_stat_sql(m) for m in FEATURE_METRICS)}
-  FROM (SELECT DISTINCT gpu, ref FROM cand) c JOIN tel t ON t.gpu = c.gpu AND t.us BETWEEN c.ref - {int(LOOKBACK_S * 1e6)} AND c.ref
+  FROM (SELECT DISTINCT gpu, ref FROM cand) c JOIN gtel t ON t.gpu = c.gpu AND t.us BETWEEN c.ref - {int(LOOKBACK_S * 1e6)} AND c.ref
   WHERE t.metric IN ({", ".join(repr(m) for m in FEATURE_METRICS)}) GROUP BY 1, 2),
 pts AS (SELECT c.gpu, split_part(c.gpu, '#', 1) AS node, CAST(split_part(c.gpu, '#', 2) AS INTEGER) AS gpu_idx, c.ref,
   'XID_ERRORS' AS event_source, c.horizon_s, {LOOKBACK_S}::DOUBLE AS lookback_s, c.label, f.* EXCLUDE (gpu, ref)
@@ -256,8 +256,8 @@ _NEEDS = {
     "ons": ["gauge"],
     "gons": ["ons"],
     "gtel": ["tel"],
-    "cand": ["ons"],
-    "pts": ["cand", "tel"],
+    "cand": ["gons"],
+    "pts": ["cand", "gtel"],
     "scored": ["pts"],
     "fjobs": ["ev"],
     "centers": ["gons"],
