@@ -11,6 +11,7 @@ from fleetlens.functions.codes import with_code_attributes
 from fleetlens.functions.timeutil import TRACE_OFFSET, local_day
 from fleetlens.plans.intervals import MICROS, bucket_of, micros, range_join
 from fleetlens.plans.scan import exact_medians, order_statistics
+from fleetlens.session import materialize
 
 CHUNK_SECONDS = 3600
 
@@ -157,6 +158,7 @@ def latch_lengths(gauge: DataFrame, affected: DataFrame, start: DataFrame, *, ch
 
 def latch_summary(latches: DataFrame) -> DataFrame:
     """Min, upper median and max run, and how the runs ended."""
+    latches = materialize(latches, "latches")  # read by two aggregations
     mid = order_statistics(latches, "latched_samples", {"upper_median": F.floor(F.col("_n") / 2)})
     return latches.agg(
         F.count("*").alias("n_gpus"),
@@ -182,6 +184,7 @@ def pre_window_deltas(telemetry: DataFrame, affected: DataFrame, lo, hi) -> Data
 
 def delta_summary(deltas: DataFrame) -> DataFrame:
     """Per metric: devices, min, upper median, max of the deltas and how many rise."""
+    deltas = materialize(deltas.select("metric", "delta"), "deltas")  # read by two aggregations
     mids = order_statistics(deltas, "delta", {"upper_median": F.floor(F.col("_n") / 2)}, keys=["metric"])
     stats = deltas.groupBy("metric").agg(
         F.count("*").alias("n_gpus"),
@@ -249,14 +252,21 @@ def precursors(
             )
         ).alias("l"),
     ).select("metric", "base_med", "base_std", "l.*")
-    usable = leads.where("lead IS NOT NULL AND base_med IS NOT NULL").withColumn("delta", F.col("lead") - F.col("base_med"))
-    moved = F.abs("delta")
+    delta = F.col("lead") - F.col("base_med")
+    moved = F.abs(delta)
     detectable = ((F.col("base_std") > 0) & (moved >= 2 * F.col("base_std"))) | ((F.col("base_std") == 0) & (moved > 1e-9))
+    # one narrow row per event, metric and horizon, so the window join runs once
+    usable = materialize(
+        leads.where("lead IS NOT NULL AND base_med IS NOT NULL").select(
+            "metric", "horizon_s", delta.alias("delta"), "slope", detectable.cast("double").alias("detectable")
+        ),
+        "leads",
+    )
     stats = usable.groupBy("metric", "horizon_s").agg(
         F.count("*").alias("events_with_lead_samples"),
         F.avg("delta").alias("mean_delta"),
         F.avg("slope").alias("mean_slope_per_min"),
-        F.avg(detectable.cast("double")).alias("frac_detectable_2sigma"),
+        F.avg("detectable").alias("frac_detectable_2sigma"),
     )
     mids = exact_medians(usable, "delta", keys=["metric", "horizon_s"])
     return stats.join(mids.select("metric", "horizon_s", F.col("median").alias("median_delta")), ["metric", "horizon_s"])
