@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _RAW = r"^(.+)-([0-9]+)$"
+# Fixed value: how pod-named devices begin.
+POD_PREFIX = "lingjun"
 
 
 def _c(col: str | Column) -> Column:
@@ -59,7 +61,7 @@ def is_ip_named(gpu: str | Column) -> Column:
 
 
 def is_pod_named(gpu: str | Column) -> Column:
-    return _c(gpu).startswith("lingjun")
+    return _c(gpu).startswith(POD_PREFIX)
 
 
 def ip_sort_key(node: str | Column) -> Column:

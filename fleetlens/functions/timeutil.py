@@ -27,14 +27,22 @@ def instant(text: str | Column) -> Column:
     return F.when(raw.try_cast("double").isNull(), F.try_to_timestamp(raw))
 
 
-def strict_instant(text: str | Column) -> Column:
-    """Like :func:`instant`, but a blank or unreadable cell is an error."""
+def _fail_unless_readable(text: str | Column, parsed: Column, kind: str) -> Column:
     raw = _c(text)
     readable = F.trim(raw).try_cast("double").isNotNull() | F.try_to_timestamp(F.trim(raw)).isNotNull()
     broken = _blank(raw) | ~F.coalesce(readable, F.lit(False))
-    return F.when(
-        broken, F.raise_error(F.concat(F.lit("unparseable timestamp: "), F.coalesce(raw, F.lit("<null>")))).cast("timestamp")
-    ).otherwise(instant(raw))
+    error = F.raise_error(F.concat(F.lit("unparseable timestamp: "), F.coalesce(raw, F.lit("<null>")))).cast(kind)
+    return F.when(broken, error).otherwise(parsed)
+
+
+def strict_instant(text: str | Column) -> Column:
+    """Like :func:`instant`, but a blank or unreadable cell is an error."""
+    return _fail_unless_readable(text, instant(text), "timestamp")
+
+
+def strict_relative_seconds(text: str | Column) -> Column:
+    """Like :func:`relative_seconds`, but a blank or unreadable cell is an error."""
+    return _fail_unless_readable(text, relative_seconds(text), "double")
 
 
 def window_bounds(center: str | Column, seconds: float | Column) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import codes
-from fleetlens.functions.timeutil import instant, relative_seconds, strict_instant
+from fleetlens.functions.timeutil import instant, strict_instant, strict_relative_seconds
 from fleetlens.operators.telemetry import window_stats
 from fleetlens.plans.intervals import MICROS, exists_within, micros
 from fleetlens.plans.scan import ROWS_PER_BUCKET, interval_sums, ordered_scan
@@ -34,7 +34,7 @@ def incidents(jobs: DataFrame) -> DataFrame:
     return (
         jobs.where(F.col("state").isin(list(codes.FAIL_STATES)) & present)
         .withColumn("fail_ts", strict_instant("fail_time"))
-        .withColumn("fail_rel", relative_seconds("fail_time"))
+        .withColumn("fail_rel", strict_relative_seconds("fail_time"))
     )
 
 

@@ -66,7 +66,17 @@ def stream_sliding_counts(spark, sf_dir):
     return out.select(iso("window_start").alias("window_start"), "n_onsets")
 
 
-@query("stream_dense_runs")
+@query(
+    "stream_dense_runs",
+    with_views(
+        f"""WITH d AS (SELECT us, count(*) AS n FROM gons GROUP BY us HAVING count(*) >= {DENSE}),
+        g AS (SELECT us, n, CASE WHEN us - lag(us) OVER (ORDER BY us) <= {2 * STEP_S * 1000000} THEN 0 ELSE 1 END AS brk FROM d),
+        r AS (SELECT *, sum(brk) OVER (ORDER BY us) AS run FROM g)
+        SELECT 'fleet' AS cluster, strftime(make_timestamp(min(us)), {ISO}) AS first_ts, strftime(make_timestamp(max(us)), {ISO}) AS last_ts, count(*) AS samples, CAST(sum(n) AS BIGINT) AS n_onsets
+        FROM r GROUP BY run HAVING max(us) + {3 * STEP_S * 1000000} - 1 <= (SELECT max(us) - {2 * STEP_S * 1000000} FROM ons)""",
+        "gons",
+    ),
+)
 def stream_dense_runs(spark, sf_dir):
     """Runs of dense hourly samples found on the stream."""
     rows = views.onsets(spark, sf_dir).withColumn("cluster", F.lit("fleet"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.ids import canonical, parse_header_name
-from fleetlens.functions.timeutil import strict_instant
+from fleetlens.functions.timeutil import relative_bounds, strict_instant, strict_relative_seconds, window_bounds
 
 
 def check_header(line: str | None, source: str) -> list[str]:
@@ -95,6 +95,41 @@ def read_wide(
     return long.select("ts", "node", "gpu_idx", "gpu", F.lit(metric).alias("metric"), "value")
 
 
+def text_window_stats(spark: SparkSession, path: str, center: str | float, window_s: float) -> DataFrame:
+    """``samples, mean, max, min`` over all cells within ``center ± window_s`` of one wide source.
+
+    Reads relative-second and ISO times alike (a number as ``center`` selects the first) and
+    needs no device names. An unreadable time fails the job; without a reading all four are 0.
+    """
+    body = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line"))
+    body = body.where((F.trim("line") != "") & ~F.col("line").startswith("Time,"))
+    parts = body.select(F.split("line", ",", -1).alias("cells"))
+    when = F.get("cells", F.lit(0))
+    timed = parts.select(strict_instant(when).alias("ts"), strict_relative_seconds(when).alias("rel"), "cells")
+    if isinstance(center, (int, float)):
+        lo, hi = relative_bounds(F.lit(float(center)), window_s)
+        inside = timed.where(F.coalesce(F.col("rel").between(lo, hi), F.lit(False)))
+    else:
+        lo, hi = window_bounds(F.to_timestamp(F.lit(center)), window_s)
+        inside = timed.where(F.coalesce(F.col("ts").between(lo, hi), F.lit(False)))
+    filled = F.filter(F.slice("cells", 2, 1_000_000), lambda c: c != "")
+    values = inside.select(F.transform(filled, lambda c: c.cast("double")).alias("v"))
+    sums = values.agg(
+        F.count("*").alias("rows"),
+        F.sum(F.size("v")).alias("n"),
+        F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"),
+        F.max(F.array_max("v")).alias("high"),
+        F.min(F.array_min("v")).alias("low"),
+    )
+    some = F.coalesce(F.col("n"), F.lit(0)) > 0
+    return sums.select(
+        F.when(some, F.col("rows")).otherwise(0).cast("bigint").alias("samples"),
+        F.when(some, F.col("total") / F.col("n")).otherwise(0.0).alias("mean"),
+        F.when(some, F.col("high")).otherwise(0.0).alias("max"),
+        F.when(some, F.col("low")).otherwise(0.0).alias("min"),
+    )
+
+
 def fleet_size(spark: SparkSession, path: str) -> int:
     """Device columns in the header."""
     first = spark.read.text(path).first()
