@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, quality_rules
+from fleetlens.llm import bpe, chat, packing, quality_classifier, quality_rules, warc
 from fleetlens.llm.common import table
 from fleetlens.session import apply_runtime_conf
 
@@ -15,10 +17,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: The public vocabulary that tokens are counted and packed by.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def settings(spark: SparkSession) -> None:
+    """The library's defaults, small Arrow batches (whole texts are long rows), and where workers find this package."""
+    apply_runtime_conf(spark)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            apply_runtime_conf(spark)
+            settings(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
@@ -133,3 +149,37 @@ FROM rated r JOIN wide w ON r.lang IS NOT DISTINCT FROM w.lang AND r.source IS N
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document, with thresholds from the sketches of its language and source."""
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents")).drop("n_lines")
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model learnt from labels outside the held-out fifth."""
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op5_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+shared AS (SELECT h, max(page_id) AS first FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN shared ON p.h = shared.h
+""",
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back by the salvage reader."""
+    return warc.page_digests(warc.archive_pages(table(spark, sf_dir, "pages")))
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and its ids decoded."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
