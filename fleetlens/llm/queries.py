@@ -9,9 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, chat, packing, quality_classifier, quality_rules, warc
+from fleetlens.llm import bpe, chat, packing, quality_classifier, quality_rules, simhash, token_rollups, warc
 from fleetlens.llm.common import table
-from fleetlens.session import apply_runtime_conf
+from fleetlens.session import apply_runtime_conf, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +183,30 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and its ids decoded."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and the likeness of neighbours."""
+    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_token_rollups",
+    r"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS source, coalesce(lang, chr(0)) AS lang, coalesce(text, '') AS text,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents WHERE doc_id IS NOT NULL),
+kept AS (SELECT * FROM d WHERE doc_id = first),
+counted AS (
+  SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM kept
+  UNION ALL
+  SELECT source, lang, 'pieces-2',
+    len(regexp_extract_all(regexp_replace(text, '[0-9]+', '', 'g'), '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]+')) FROM kept)
+SELECT nullif(source, chr(0)) AS source, nullif(lang, chr(0)) AS lang, version, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens
+FROM counted GROUP BY ALL
+""",
+)
+def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after inserts, revised counts and deletes, every batch sent twice."""
+    store = token_rollups.RollupStore(spark, scratch_path(spark, "rollups"))
+    return token_rollups.corpus_history(table(spark, sf_dir, "documents"), store)
