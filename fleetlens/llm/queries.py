@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, chat, packing, quality_classifier, quality_rules, simhash, token_rollups, warc
+from fleetlens.llm import bpe, chat, jaccard_join, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_rollups, warc
 from fleetlens.llm.common import table
 from fleetlens.session import apply_runtime_conf, scratch_path
 
@@ -111,7 +111,7 @@ split AS (SELECT r, {SQL_WORDS} AS w,
 grams AS (SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (
   SELECT r, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM split)),
 found AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM grams),
-spread AS (SELECT DISTINCT r, i + k AS at FROM found, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1),
+spread AS (SELECT DISTINCT r, i + k AS p FROM found, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1),
 repeats AS (SELECT r, count(*) AS n FROM spread GROUP BY r),
 counts AS (
   SELECT d.doc_id, d.lang, d.source, len(w) AS n_words,
@@ -210,3 +210,43 @@ def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals after inserts, revised counts and deletes, every batch sent twice."""
     store = token_rollups.RollupStore(spark, scratch_path(spark, "rollups"))
     return token_rollups.corpus_history(table(spark, sf_dir, "documents"), store)
+
+
+@query(
+    "op2_ngram_jaccard",
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+w AS (SELECT doc_id, """ + SQL_WORDS + r""" AS w FROM d),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN z USING (doc_id) JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+""",
+)
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents: size of the shingle set and component."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op9_substring_dedup",
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, """ + SQL_WORDS + r""" AS w FROM documents),
+s AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM s) WHERE c > 1),
+gone AS (SELECT r, list(DISTINCT i + k) AS p FROM m, (SELECT unnest(range(35)) AS k) GROUP BY r),
+kept AS (SELECT doc_id, w, list_filter(w, lambda x, i: NOT list_contains(p, i)) AS k FROM d JOIN gone USING (r)
+  UNION ALL SELECT doc_id, w, w FROM d WHERE r NOT IN (SELECT r FROM gone))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed,
+  sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+""",
+)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 35 words that occur more than once."""
+    return substring_dedup.dedup_digests(table(spark, sf_dir, "documents"))
