@@ -17,9 +17,9 @@ SOP = (
     "metrics struct<power_spike_ratio: double, temp_rise_C: double, correlated_count: int>, embedding array<float>"
 )
 REGISTRY = (
-    "version int, model_type string, features array<string>, primary_metric string, primary_value double, "
-    "metrics string, window_start timestamp, window_end timestamp, n_train bigint, n_test bigint, "
-    "dataset_path string, dataset_sha256 string, holdout_id string, model_path string"
+    "version int, model_type string, features array<string>, metric string, value double, roc_auc double, avg_precision double, "
+    "permuted_auc double, permutations int, base_rate double, strongest_alone double, window_start timestamp, window_end timestamp, "
+    "n_train bigint, n_test bigint, dataset_path string, dataset_sha256 string, holdout_id string, model_path string"
 )
 
 
