@@ -74,7 +74,6 @@ def burst_centers(
     *,
     min_onsets: int = BURST_MIN_ONSETS,
     window_s: int = COHORT_SECONDS,
-    max_rounds: int = 1000,
 ) -> DataFrame:
     """Burst centres: samples taken by cohort size (then time), each claiming its neighbours.
 
@@ -86,9 +85,7 @@ def burst_centers(
     sized = cohort_sizes(onset_rows, window_s).where(F.col("cohort") >= min_onsets)
     state = materialize(sized.select(micros("ts").alias("_at"), "cohort", F.lit(0).alias("mark")), "burst")
     reach = window_s * MICROS
-    for _ in range(max_rounds):
-        if state.where("mark = 0").isEmpty():
-            break
+    while not state.where("mark = 0").isEmpty():  # a round settles at least the strongest open sample
         near, order = _with_neighbours(state, reach)
         frame = order.rangeBetween(-reach, reach)
         # strongest open sample and any centre chosen before, among the neighbours
@@ -106,8 +103,6 @@ def burst_centers(
         )
         # closed samples neither choose nor block, so only open ones and centres go on
         state = materialize(seen.select("_at", "cohort", mark.alias("mark")).where("mark >= 0"), "burst")
-    else:
-        raise RuntimeError("burst selection did not settle")
     return state.where("mark = 1").select(F.timestamp_micros("_at").alias("center"), F.col("cohort").alias("n_onsets"))
 
 
@@ -353,7 +348,7 @@ def series_of(series: DataFrame, incident_id: str) -> DataFrame:
     """One incident's series; an unknown id is an error that lists the known ones."""
     found = series.where(F.col("id") == incident_id)
     if found.isEmpty():
-        known = [r["id"] for r in series.select("id").distinct().orderBy("id").limit(100).collect()]
+        known = [r["id"] for r in series.select("id").distinct().orderBy("id").collect()]
         raise KeyError(f"no incident {incident_id!r}; known: {known}")
     return found
 

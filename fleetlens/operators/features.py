@@ -100,24 +100,20 @@ def window_features(
     *,
     lookback_s: float,
     period_s: float = 15.0,
-    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Features over ``[t_ref - lookback, t_ref]`` for each distinct ``(gpu, t_ref)``.
 
     One join on device and time bucket, then one aggregation that computes every metric's
     statistics; points without a reading in any metric give no row. Missing statistics are
-    NULL, counts and coverage of an empty metric are 0. ``carry`` columns of ``points`` come
-    along; the points must then be distinct already.
+    NULL, counts and coverage of an empty metric are 0.
     """
     span = int(lookback_s * MICROS)
-    probes = points.select("gpu", micros("t_ref").alias("_ref"), *carry)
-    probes = (probes if carry else probes.distinct()).withColumn("_lo", F.col("_ref") - span)
+    probes = points.select("gpu", micros("t_ref").alias("_ref")).distinct().withColumn("_lo", F.col("_ref") - span)
     samples = telemetry.where(F.col("metric").isin(list(metrics)) & F.col("value").isNotNull()).select(
         "gpu", "metric", micros("ts").alias("_at"), "value"
     )
     joined = range_join(probes, samples, keys=["gpu"], lo="_lo", hi="_ref", at="_at", width_us=span)
     stats = [c for m in metrics for c in _stat_columns(m, lookback_s, period_s)]
-    stats += [F.max(c).alias(c) for c in carry]  # one value per group; max keeps the aggregation hashed
     return joined.groupBy("gpu", "_ref").agg(*stats).withColumn("t_ref", F.timestamp_micros("_ref")).drop("_ref")
 
 
@@ -136,31 +132,9 @@ def labelled_points(
     points = candidates(
         gauge_onsets, horizons_s=horizons_s, neg_offset_s=neg_offset_s, control_gpus=control_gpus
     )
-    # horizons sharing a device and time share its window: it is computed once, and a number
-    # with two bits per horizon (present, label) says which rows to spread out again
-    if len(horizons_s) > 30:
-        raise ValueError("at most 30 horizons")
-    present, positive = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-    for i, h in enumerate(horizons_s):
-        here = F.col("horizon_s") == float(h)
-        present = F.when(here, F.lit(1 << (2 * i)).cast("bigint")).otherwise(present)
-        positive = F.when(here, F.lit(1 << (2 * i + 1)).cast("bigint")).otherwise(positive)
-    bits = present + F.when(F.col("label") == 1, positive).otherwise(F.lit(0))
-    moments = points.groupBy("gpu", "t_ref").agg(F.bit_or(bits).alias("_bits"))
-    feats = window_features(moments, telemetry, metrics, lookback_s=lookback_s, period_s=period_s, carry=["_bits"])
-    spread = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(float(h)).alias("horizon_s"),
-                    F.getbit("_bits", F.lit(2 * i)).alias("kept"),
-                    F.getbit("_bits", F.lit(2 * i + 1)).cast("int").alias("label"),
-                )
-                for i, h in enumerate(horizons_s)
-            ]
-        )
-    )
-    rows = feats.withColumn("_row", spread).select("*", "_row.*").where("kept = 1").drop("_row", "_bits", "kept")
+    # horizons sharing a device and time share its window: it is computed once and joined back
+    feats = window_features(points, telemetry, metrics, lookback_s=lookback_s, period_s=period_s)
+    rows = points.drop("positive").join(feats, ["gpu", "t_ref"])
     full = (
         rows.withColumn("node", node_of("gpu"))
         .withColumn("gpu_idx", index_of("gpu"))

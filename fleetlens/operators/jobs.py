@@ -41,9 +41,7 @@ def design_matrix(history: DataFrame, features: Sequence[str], keep: Sequence[st
         raise KeyError(f"unknown feature: {missing}")
     cols = [F.col(f) for f in features if f != "type"]
     if "type" in features:
-        values = sorted(r[0] for r in history.select("type").where("type IS NOT NULL").distinct().limit(1001).collect())
-        if len(values) > 1000:
-            raise ValueError("type is not a category: more than 1,000 distinct values")
+        values = sorted(r[0] for r in history.select("type").where("type IS NOT NULL").distinct().collect())  # as many as columns come out
         cols += [F.coalesce((F.col("type") == v).cast("int"), F.lit(0)).alias(f"type_{v}") for v in values]
     label = F.col("state").isin(list(FAIL_STATES)).cast("int").alias("label")
     return history.select(*keep, *cols, label)
@@ -67,9 +65,13 @@ def job_features(jobs: DataFrame, telemetry: DataFrame, metrics: dict[str, str])
     """
     spans = jobs.select(micros("start_ts").alias("_lo"), micros("end_ts").alias("_hi"))
     samples = telemetry.where(F.col("metric").isin(list(metrics.values()))).select("metric", micros("ts").alias("_at"), "value")
-    found = interval_moments(spans, samples, lo="_lo", hi="_hi", at="_at", by=["metric"])
-    mean = F.col("total") / F.col("n")
-    std = F.sqrt(F.greatest(F.lit(0.0), F.col("total_sq") / F.col("n") - mean * mean))
+    # one row per metric; sums are taken around a metric's overall mean
+    centre = samples.groupBy("metric").agg(F.avg("value").alias("_centre"))
+    moments = interval_moments(spans, samples.join(centre, "metric"), lo="_lo", hi="_hi", at="_at", by=["metric"], shift="_centre")
+    found = moments.join(centre, "metric")
+    offset = F.col("total") / F.col("n")
+    mean = F.col("_centre") + offset
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("total_sq") / F.col("n") - offset * offset))
     filled = F.col("n") > 0
     wide = found.groupBy("lo", "hi").agg(
         *[

@@ -19,10 +19,11 @@ def onsets(gauge: DataFrame, *, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame
     """Empty-aware onsets: a fault whose previous cell was healthy or idle.
 
     A device whose first cell is already faulted is left-censored, a fault that stays or
-    changes code without clearing is not a new onset.
+    changes code without clearing is not a new onset. Cells of one device and instant (files
+    that overlap) count as idle first, then by code.
     """
     timed = gauge.withColumn("_at", micros("ts"))
-    edges = rising_edges(timed, F.col("code") != 0, key=["gpu"], at="_at", chunk_seconds=chunk_seconds)
+    edges = rising_edges(timed, F.col("code") != 0, key=["gpu"], at="_at", then=["code"], chunk_seconds=chunk_seconds)
     return edges.select("ts", "gpu", "node", "gpu_idx", F.col("code").cast("int").alias("code"))
 
 

@@ -11,7 +11,7 @@ from fleetlens.functions import codes
 from fleetlens.functions.timeutil import instant, strict_instant, strict_relative_seconds
 from fleetlens.operators.telemetry import window_stats
 from fleetlens.plans.intervals import MICROS, exists_within, micros
-from fleetlens.plans.scan import ROWS_PER_BUCKET, interval_sums, ordered_scan
+from fleetlens.plans.scan import ROWS_PER_BUCKET, interval_sums, ordered_scan, row_ranks, tie_key
 from fleetlens.session import materialize
 
 
@@ -38,6 +38,10 @@ def incidents(jobs: DataFrame) -> DataFrame:
     )
 
 
+#: Sums of codes and of their squares.
+WIDE = "decimal(38,0)"
+
+
 def jobs_near(incident_rows: DataFrame, center: str | float, window_s: float = 120) -> DataFrame:
     """Other failures within ``±window_s`` of one centre, every incident at that very time left out."""
     if isinstance(center, (int, float)):
@@ -49,12 +53,9 @@ def jobs_near(incident_rows: DataFrame, center: str | float, window_s: float = 1
 
 
 def _numbered(rows: DataFrame, col: str) -> DataFrame:
-    """Numbered vocabulary of ``col``, refused when it is no vocabulary."""
-    found = rows.select(col).distinct().limit(100_001).collect()
-    if len(found) > 100_000:
-        raise ValueError(f"{col} is not a vocabulary: more than 100,000 distinct values")
-    names = sorted(r[col] for r in found)
-    return rows.sparkSession.createDataFrame(list(enumerate(names)), f"_code bigint, {col} string")
+    """Distinct values of ``col`` with a number from 1 on, found by rank, not on the driver."""
+    names = rows.select(col).distinct().withColumn("_tie", tie_key(col))
+    return row_ranks(names, "_tie", "_tie", out="_code").drop("_tie")
 
 
 def _single_value(n: str, s1: str, s2: str):
@@ -62,26 +63,26 @@ def _single_value(n: str, s1: str, s2: str):
 
     All codes are equal exactly when ``n·Σx² = (Σx)²``.
     """
-    wide = "decimal(38,0)"
-    total, squares, count = F.col(s1).cast(wide), F.col(s2).cast(wide), F.col(n).cast(wide)
-    return F.when((F.col(n) > 0) & (count * squares == total * total), (F.col(s1) / F.col(n)).cast("bigint"))
+    total, squares, count = F.col(s1).cast(WIDE), F.col(s2).cast(WIDE), F.col(n).cast(WIDE)
+    return F.when((F.col(n) > 0) & (count * squares == total * total), F.floor(total / count).cast("bigint"))
 
 
 def correlated_failures(incident_rows: DataFrame, window_s: float = 120, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Per distinct failure time: number of other failures near it and their shared type.
 
-    Needs ``fail_ts`` and ``type``. Running totals over time, so a time at which a third of
+    Needs ``fail_ts`` and ``type``; jobs with a relative time only have no place among these
+    instants and are left out (see :func:`jobs_near`). Running totals over time, so a time at which a third of
     all jobs fail costs one row. The shared type is set only when all neighbours agree.
     """
     # times are parsed once: from here on one row per distinct time and type
     counted = materialize(
-        incident_rows.groupBy(micros("fail_ts").alias("pos"), F.coalesce("type", F.lit("<null>")).alias("_name")).agg(F.count("*").alias("n")),
+        incident_rows.where("fail_ts IS NOT NULL").groupBy(micros("fail_ts").alias("pos"), F.coalesce("type", F.lit("<null>")).alias("_name")).agg(F.count("*").alias("n")),
         "failures",
     )
     names = _numbered(counted, "_name")
-    points = counted.join(F.broadcast(names), "_name").select(  # at most 100,000 names, checked
-        "pos", "n", (F.col("_code") * F.col("n")).alias("s1"), (F.col("_code") * F.col("_code") * F.col("n")).alias("s2")
-    )
+    names = materialize(names, "names")
+    code = F.col("_code").cast("decimal(19,0)")
+    points = counted.join(names, "_name").select("pos", "n", (code * F.col("n")).cast(WIDE).alias("s1"), (code * code * F.col("n")).cast(WIDE).alias("s2"))
     span = int(window_s * MICROS)
     here = points.groupBy("pos").agg(F.sum("n").alias("n0"), F.sum("s1").alias("s10"), F.sum("s2").alias("s20"))
     probes = here.select((F.col("pos") - span).alias("lo"), (F.col("pos") + span).alias("hi"))
@@ -93,7 +94,7 @@ def correlated_failures(incident_rows: DataFrame, window_s: float = 120, *, rows
         (F.col("s2") - F.col("s20")).alias("s2"),
     )
     shared = net.withColumn("_code", _single_value("n_correlated", "s1", "s2"))
-    return shared.join(F.broadcast(names), "_code", "left").select(
+    return shared.join(names, "_code", "left").select(
         "fail_ts", "n_correlated", F.when(F.col("_name") != "<null>", F.col("_name")).alias("shared_type")
     )
 
@@ -120,8 +121,8 @@ def onset_cohorts(failures: DataFrame, onset_rows: DataFrame, window_s: float, *
     points = onset_rows.select(
         micros("ts").alias("pos"),
         F.lit(1).cast("bigint").alias("n"),
-        F.col("code").cast("bigint").alias("s1"),
-        (F.col("code").cast("bigint") * F.col("code")).alias("s2"),
+        F.col("code").cast(WIDE).alias("s1"),
+        (F.col("code").cast("bigint") * F.col("code")).cast(WIDE).alias("s2"),
     )
     probes = failures.select((micros("fail_ts") - span).alias("lo"), (micros("fail_ts") + span).alias("hi"))
     around = interval_sums(points, probes, ["n", "s1", "s2"], rows_per_bucket=rows_per_bucket)

@@ -107,12 +107,13 @@ def exists_within(
 MOMENTS = ("n", "total", "total_sq", "low", "high", "instants")
 
 
-def cell_moments(value: str = "value") -> list[Column]:
+def cell_moments(value: str = "value", shift: str | None = None) -> list[Column]:
     v = F.col(value)
+    d = v - F.col(shift) if shift else v
     return [
         F.count(v).alias("n"),
-        F.sum(v).alias("total"),
-        F.sum(v * v).alias("total_sq"),
+        F.sum(d).alias("total"),
+        F.sum(d * d).alias("total_sq"),
         F.min(v).alias("low"),
         F.max(v).alias("high"),
     ]
@@ -165,6 +166,7 @@ def interval_moments(
     at: str,
     by: Sequence[str] = (),
     value: str = "value",
+    shift: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Count, sum, square sum, min, max and instants of all samples inside each ``[lo, hi]``.
@@ -173,12 +175,14 @@ def interval_moments(
     so nothing is joined by time. Instants are ranked over the whole table, every interval
     becomes a rank range, and the range is tiled with blocks of 1, 8, 64… ranks whose
     sums exist already: at most fourteen equality lookups per level, whatever lies inside.
+    ``shift`` names a column that is taken off the values before they are summed, so that
+    squares of large values don't cancel; low and high stay as they are.
     Returns one row per distinct interval and ``by`` group that holds an instant.
     """
     by = list(by)
     per_instant = materialize(
         samples.groupBy(*by, F.col(at).alias("_at"))
-        .agg(*cell_moments(value))
+        .agg(*cell_moments(value, shift))
         .withColumn("instants", F.lit(1).cast("bigint")),
         "instants",
     )

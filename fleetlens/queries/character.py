@@ -184,19 +184,19 @@ _LEADS = " UNION ALL ".join(
 @query(
     "precursors",
     with_views(
-        f"""WITH w AS (SELECT o.gpu, o.us AS t0, t.metric, t.us, t.value FROM (SELECT DISTINCT gpu, us FROM gons) o JOIN gtel t ON t.gpu = o.gpu AND t.us >= o.us - {BASELINE_S * 1000000} AND t.us < o.us),
+        f"""WITH w AS (SELECT o.gpu, o.us AS t0, t.metric, t.us, t.value FROM (SELECT DISTINCT gpu, us FROM ons) o JOIN tel t ON t.gpu = o.gpu AND t.us >= o.us - {BASELINE_S * 1000000} AND t.us < o.us),
         l AS ({_LEADS}), d AS (SELECT *, lead - base_med AS delta FROM l WHERE lead IS NOT NULL AND base_med IS NOT NULL)
         SELECT metric, CAST(horizon_s AS INTEGER) AS horizon_s, count(*) AS events_with_lead_samples, round(avg(delta), 4) AS mean_delta, round(avg(slope), 4) AS mean_slope_per_min,
         round(avg(CASE WHEN (base_std > 0 AND abs(delta) >= 2 * base_std) OR (base_std = 0 AND abs(delta) > 1e-9) THEN 1.0 ELSE 0.0 END), 6) AS frac_detectable_2sigma,
         round(median(delta), 4) AS median_delta FROM d GROUP BY metric, horizon_s""",
-        "gons",
-        "gtel",
+        "ons",
+        "tel",
     ),
 )
 def precursors(spark, sf_dir):
     """Sensor shift before faults against each device's own earlier baseline."""
     rows = ops.precursors(
-        views.grid_telemetry(spark, sf_dir), views.grid_onsets(spark, sf_dir), horizons_s=HORIZONS, baseline_s=BASELINE_S, exclude_s=EXCLUDE_S
+        views.telemetry(spark, sf_dir), views.onsets(spark, sf_dir), horizons_s=HORIZONS, baseline_s=BASELINE_S, exclude_s=EXCLUDE_S
     )
     for c, d in (("mean_delta", 4), ("mean_slope_per_min", 4), ("median_delta", 4), ("frac_detectable_2sigma", 6)):
         rows = rows.withColumn(c, F.round(c, d))

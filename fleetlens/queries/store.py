@@ -19,8 +19,10 @@ WINDOW_S = 7200
 def _peak(spark, sf_dir):
     """Device, metric and time of the largest reading: the subject of the point lookups."""
     tel = views.telemetry(spark, sf_dir)
-    best = tel.agg(F.max(F.struct("value", "ts", "gpu", "metric")).alias("b")).first()["b"]
-    return tel, best["gpu"], best["metric"], best["ts"].strftime("%Y-%m-%d %H:%M:%S.%f")
+    best = tel.agg(F.max(F.struct("value", "ts", "gpu", "metric")).alias("b"))
+    # the time leaves Spark as text of the session's zone, whatever the driver's own zone is
+    row = best.select("b.gpu", "b.metric", F.date_format("b.ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts")).first()
+    return tel, row["gpu"], row["metric"], row["ts"]
 
 
 _PEAK = "pk AS (SELECT gpu, metric, ts, us FROM tel ORDER BY value DESC, ts DESC, gpu DESC, metric DESC LIMIT 1)"
@@ -129,22 +131,22 @@ def fleet_reading(spark, sf_dir):
 @query(
     "target_windows",
     with_views(
-        f"""SELECT o.gpu, strftime(o.ts, {ISO}) AS onset, t.metric, strftime(t.ts, {ISO}) AS ts, t.value FROM (SELECT DISTINCT gpu, ts, us FROM gons) o JOIN gtel t
+        f"""SELECT o.gpu, strftime(o.ts, {ISO}) AS onset, t.metric, strftime(t.ts, {ISO}) AS ts, t.value FROM (SELECT DISTINCT gpu, ts, us FROM ons) o JOIN tel t
         ON t.gpu = o.gpu AND t.us BETWEEN o.us - 10800000000 AND o.us + 10800000000""",
-        "gons",
-        "gtel",
+        "ons",
+        "tel",
     ),
 )
 def target_windows(spark, sf_dir):
     """Hourly readings of the faulting device within three hours of each onset."""
     span = F.expr("INTERVAL 3 HOURS")
     targets = (
-        views.grid_onsets(spark, sf_dir)
+        views.onsets(spark, sf_dir)
         .select("gpu", "ts")
         .distinct()
         .select(F.struct("gpu", "ts").alias("target_id"), "gpu", (F.col("ts") - span).alias("lo"), (F.col("ts") + span).alias("hi"))
     )
-    found = ops.target_windows(views.grid_telemetry(spark, sf_dir), targets, width_s=21600)
+    found = ops.target_windows(views.telemetry(spark, sf_dir), targets, width_s=21600)
     return found.select("gpu", iso("target_id.ts").alias("onset"), "metric", iso("ts").alias("ts"), "value")
 
 

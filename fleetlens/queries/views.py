@@ -76,16 +76,12 @@ def onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Onsets on the hourly sampling grid."""
+    """Onsets by the hour they fall in, for what counts onsets per sample; none is merged."""
     return onsets(spark, sf_dir).withColumn("ts", on_grid("ts", GRID_S))
 
 
 def grid_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last reading per device, metric and hour.
-
-    A user may hold any share of the events; on the grid a device has at most one reading
-    per metric and hour, as a sensor does.
-    """
+    """The last reading per device, metric and hour: what a whole fleet shows at one sample."""
     return resample(telemetry(spark, sf_dir), GRID_S)
 
 
@@ -143,8 +139,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         sf_dir,
         "points",
         lambda: labelled_points(
-            grid_onsets(spark, sf_dir),
-            grid_telemetry(spark, sf_dir),
+            onsets(spark, sf_dir),
+            telemetry(spark, sf_dir),
             metrics=FEATURE_METRICS,
             horizons_s=HORIZONS_S,
             lookback_s=LOOKBACK_S,
@@ -181,7 +177,7 @@ _GTEL = f"""gtel AS (SELECT us - us % {GRID_S * 1000000} AS us, make_timestamp(u
   arg_max(value, us) AS value FROM tel WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6)"""
 _H = ", ".join(str(h) for h in HORIZONS_S)
 _CAND = f"""hz AS (SELECT unnest([{_H}]::DOUBLE[]) AS horizon_s),
-o2 AS (SELECT DISTINCT gpu, us FROM gons),
+o2 AS (SELECT DISTINCT gpu, us FROM ons),
 pos AS (SELECT gpu, us - CAST(horizon_s * 1000000 AS BIGINT) AS ref, horizon_s, 1 AS positive FROM o2, hz),
 neg AS (SELECT gpu, us - {int(NEG_OFFSET_S * 1e6)} AS ref, horizon_s, 0 AS positive FROM o2, hz),
 ctl AS (SELECT c.gpu, p.ref, p.horizon_s, 0 AS positive FROM (SELECT DISTINCT ref, horizon_s FROM pos) p,
@@ -212,8 +208,8 @@ def _stat_sql(metric: str) -> str:
 
 
 _PTS = f"""feat AS (SELECT c.gpu, c.ref, {", ".join(_stat_sql(m) for m in FEATURE_METRICS)}
-  FROM (SELECT DISTINCT gpu, ref FROM cand) c JOIN gtel t ON t.gpu = c.gpu AND t.us BETWEEN c.ref - {int(LOOKBACK_S * 1e6)} AND c.ref
-  WHERE t.metric IN ({", ".join(repr(m) for m in FEATURE_METRICS)}) GROUP BY 1, 2),
+  FROM (SELECT DISTINCT gpu, ref FROM cand) c JOIN tel t ON t.gpu = c.gpu AND t.us BETWEEN c.ref - {int(LOOKBACK_S * 1e6)} AND c.ref
+  WHERE t.value IS NOT NULL AND t.metric IN ({", ".join(repr(m) for m in FEATURE_METRICS)}) GROUP BY 1, 2),
 pts AS (SELECT c.gpu, split_part(c.gpu, '#', 1) AS node, CAST(split_part(c.gpu, '#', 2) AS INTEGER) AS gpu_idx, c.ref,
   'XID_ERRORS' AS event_source, c.horizon_s, {LOOKBACK_S}::DOUBLE AS lookback_s, c.label, f.* EXCLUDE (gpu, ref)
   FROM cand c JOIN feat f ON f.gpu = c.gpu AND f.ref = c.ref)"""
@@ -256,8 +252,8 @@ _NEEDS = {
     "ons": ["gauge"],
     "gons": ["ons"],
     "gtel": ["tel"],
-    "cand": ["gons"],
-    "pts": ["cand", "gtel"],
+    "cand": ["ons"],
+    "pts": ["cand", "tel"],
     "scored": ["pts"],
     "fjobs": ["ev"],
     "centers": ["gons"],

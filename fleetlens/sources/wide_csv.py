@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.ids import canonical, parse_header_name
-from fleetlens.functions.timeutil import relative_bounds, strict_instant, strict_relative_seconds, window_bounds
+from fleetlens.functions.timeutil import relative_bounds, relative_seconds, strict_instant, strict_relative_seconds, window_bounds
 
 
 def check_header(line: str | None, source: str) -> list[str]:
@@ -29,7 +29,7 @@ def header_frame(spark: SparkSession, cells: Sequence[str], alias: Mapping[str,
     return spark.createDataFrame(rows, "pos int, raw string, node string, gpu_idx int")
 
 
-def melt_lines(lines: DataFrame, header: DataFrame, cells: Sequence[str], *, keep: Column | None = None) -> DataFrame:
+def melt_lines(lines: DataFrame, header: DataFrame, cells: Sequence[str], *, keep: Column | None = None, origin: str | None = None) -> DataFrame:
     """Split text lines (column ``value``) into ``(ts, node, gpu_idx, gpu, value)`` rows.
 
     A repeated header line must equal the first; another header under one source fails
@@ -48,7 +48,12 @@ def melt_lines(lines: DataFrame, header: DataFrame, cells: Sequence[str], *, kee
         )
     )
     parts = body.select(F.split("line", ",", -1).alias("cells"))
-    timed = parts.select(strict_instant(F.get("cells", F.lit(0))).alias("ts"), "cells")
+    read = strict_instant(F.get("cells", F.lit(0)))
+    # a time in seconds since the trace began reads as no instant; without one rows would have no order
+    told = F.raise_error(F.lit("the times are relative seconds: use text_window_stats, or give an origin")).cast("timestamp")
+    seconds = relative_seconds(F.get("cells", F.lit(0)))
+    since = F.timestamp_micros((seconds * 1_000_000).cast("bigint") + F.unix_micros(F.to_timestamp(F.lit(origin)))) if origin else told
+    timed = parts.select(F.coalesce(read, since).alias("ts"), "cells")
     if keep is not None:
         timed = timed.where(keep)
     cell = F.posexplode(F.expr("slice(cells, 2, greatest(size(cells) - 1, 0))")).alias("pos0", "cell")
@@ -64,6 +69,14 @@ def melt_lines(lines: DataFrame, header: DataFrame, cells: Sequence[str], *, kee
     )
 
 
+def _headed(lines: DataFrame) -> None:
+    """Fails if a file of the source has no header line, since its cells would be read under another file's."""
+    named = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").startswith("Time").alias("head"))
+    bare = named.groupBy("file").agg(F.bool_or("head").alias("head")).where("NOT head").first()
+    if bare:
+        raise ValueError(f"not a wide source: {bare['file']} has no header line")
+
+
 def read_wide(
     spark: SparkSession,
     path: str,
@@ -73,14 +86,18 @@ def read_wide(
     gpus: Collection[str] | None = None,
     alias: Mapping[str, str] | None = None,
     keep_empty: bool = False,
+    origin: str | None = None,
 ) -> DataFrame:
     """Long rows ``(ts, node, gpu_idx, gpu, metric, value)`` of one wide source.
 
     ``path`` may be a file, folder or glob whose files share one header. ``time_range`` is
     inclusive; ``gpus=None`` keeps every device and an empty collection keeps none.
-    ``keep_empty`` retains idle cells as NULL values (fault detection needs them).
+    ``keep_empty`` retains idle cells as NULL values (fault detection needs them). Times in
+    relative seconds are placed after ``origin``; without one they fail the job. Each file
+    has to begin with the header line.
     """
     lines = spark.read.text(path)
+    _headed(lines)
     first = lines.first()
     cells = check_header(first.value if first else None, path)
     header = header_frame(spark, cells, alias)
@@ -89,7 +106,7 @@ def read_wide(
     keep = None
     if time_range is not None:
         keep = F.col("ts").between(*[F.to_timestamp(F.lit(t)) for t in time_range])
-    long = melt_lines(lines, header, cells, keep=keep)
+    long = melt_lines(lines, header, cells, keep=keep, origin=origin)
     if not keep_empty:
         long = long.where(F.col("value").isNotNull())
     return long.select("ts", "node", "gpu_idx", "gpu", F.lit(metric).alias("metric"), "value")
@@ -112,7 +129,7 @@ def text_window_stats(spark: SparkSession, path: str, center: str | float, windo
     else:
         lo, hi = window_bounds(F.to_timestamp(F.lit(center)), window_s)
         inside = timed.where(F.coalesce(F.col("ts").between(lo, hi), F.lit(False)))
-    filled = F.filter(F.slice("cells", 2, 1_000_000), lambda c: c != "")
+    filled = F.filter(F.slice("cells", F.lit(2), F.size("cells")), lambda c: c != "")
     values = inside.select(F.transform(filled, lambda c: c.cast("double")).alias("v"))
     sums = values.agg(
         F.count("*").alias("rows"),

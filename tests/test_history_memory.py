@@ -41,6 +41,13 @@ def test_job_features(spark):
     assert jobs.sensory(jobs.job_features(job, tel, {"power": "P"}), "j1").columns == ["power_mean", "power_max", "power_std"]
 
 
+def test_job_features_of_large_values_keep_their_spread(spark):
+    job = spark.createDataFrame([("j", at(0), at(100))], "job_id string, start_ts timestamp, end_ts timestamp")
+    tel = spark.createDataFrame([(at(t), "n#0", "P", 1e9 + v) for t, v in ((10, 0.0), (20, 0.5), (900, 7.0))], "ts timestamp, gpu string, metric string, value double")
+    got = jobs.job_features(job, tel, {"power": "P"}).first()
+    assert (got.power_mean, got.power_max, got.power_std) == (1e9 + 0.25, 1e9 + 0.5, pytest.approx(0.25, abs=1e-6))
+
+
 @pytest.fixture
 def sop(spark):
     rows = [

@@ -66,3 +66,14 @@ def test_onsets_from_points_dedupes_horizons(spark):
     rows = [("n#0", at(0), 600.0, 1), ("n#0", at(540), 60.0, 1), ("n#0", at(0), 60.0, 0)]
     points = spark.createDataFrame(rows, "gpu string, t_ref timestamp, horizon_s double, label int")
     assert [(r.gpu, r.ts) for r in ops.onsets_from_points(points).collect()] == [("n#0", at(600))]
+
+
+def test_cells_of_one_instant_count_the_same_in_any_order(spark):
+    cells = [(0, 0.0), (15, 43.0), (15, None), (30, 0.0), (30, 31.0)]
+    found = set()
+    for seed in range(4):
+        rows = [(at(s), "n", 0, "n#0", c) for s, c in random.Random(seed).sample(cells, len(cells))]
+        gauge = spark.createDataFrame(rows, "ts timestamp, node string, gpu_idx int, gpu string, code double").repartition(3)
+        found.add(tuple(found_in(ops.onsets(gauge))))
+    # idle, then fault at 15 s; healthy, then fault at 30 s
+    assert found == {(("n#0", 1, 43), ("n#0", 2, 31))}

@@ -56,3 +56,21 @@ def test_positive_wins_over_a_clashing_negative(spark, onsets_of):
     assert rows["n#0", at(70), 30.0] == (True, 1)  # also the offset of the second onset
     assert rows["n#0", at(40), 30.0] == (False, 0)
     assert ("n#0", at(70), 60.0) in rows and rows["n#0", at(70), 60.0] == (True, 1)
+
+
+def test_many_horizons(spark, onsets_of):
+    tel = spark.createDataFrame([(at(15 * i), "n#0", "T", float(i)) for i in range(40)], TEL)
+    horizons = [float(15 * k) for k in range(1, 36)]
+    rows = ops.labelled_points(onsets_of([(570, "n#0")]), tel, metrics=["T"], horizons_s=horizons, lookback_s=60.0, neg_offset_s=9000.0)
+    assert {(r.horizon_s, r.T_last) for r in rows.where("label = 1").collect()} == {(h, (570 - h) // 15) for h in horizons}
+
+
+def test_a_device_with_a_third_of_all_readings_at_any_time(spark):
+    hot = [(at(0.25 * i), "n#0", "T", float(i % 97)) for i in range(3000)]
+    rest = [(at(15 * i), f"n#{1 + i % 60}", "T", 1.0) for i in range(6000)]
+    tel = spark.createDataFrame(hot + rest, TEL).repartition(8)
+    points = spark.createDataFrame([("n#0", at(t)) for t in (10, 300, 749)], "gpu string, t_ref timestamp")
+    for row in ops.window_features(points, tel, ["T"], lookback_s=120).collect():
+        inside = [v for ts, _, _, v in hot if 0 <= (row.t_ref - ts).total_seconds() <= 120]
+        assert (row.T_count, row.T_last, row.T_max) == (len(inside), inside[-1], max(inside))
+        assert row.T_mean == pytest.approx(sum(inside) / len(inside))

@@ -95,3 +95,13 @@ def test_window_stats_and_degradation(spark):
     stats = {r.field: r for r in rca.incident_telemetry(tel, centers.where(F.col("fail_ts") == at(0)), 60).collect()}
     power = stats["DCGM_FI_DEV_POWER_USAGE"]
     assert (power.samples, power["mean"], power["max"], power["min"], power.available) == (2, 200.0, 300.0, 100.0, True)
+
+
+def test_many_types_are_told_apart_and_relative_times_stay_out(spark):
+    rows = [(f"j{i}", f"type {i % 700}", "FAILED", f"2023-08-29 05:{i % 60:02d}:00+00:00") for i in range(1400)] + [("r", "x", "FAILED", "12.5")]
+    found = rca.correlated_failures(rca.incidents(spark.createDataFrame(rows, JOB)), 30)
+    assert found.count() == 60 and found.where("fail_ts IS NULL OR shared_type IS NOT NULL").isEmpty()
+    alike = [(f"j{i}", "same", "FAILED", "2023-08-29 05:00:00+00:00") for i in range(3)]
+    near = alike + [("k", "other", "FAILED", "2023-08-29 05:00:20+00:00")]
+    got = {r.fail_ts.second: (r.n_correlated, r.shared_type) for r in rca.correlated_failures(rca.incidents(spark.createDataFrame(near, JOB)), 30).collect()}
+    assert got == {0: (1, "other"), 20: (3, "same")}

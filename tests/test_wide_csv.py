@@ -78,6 +78,20 @@ def test_bad_sources_fail(spark, tmp_path):
         wide_csv.read_wide(spark, str(folder), "X").collect()
 
 
+def test_relative_seconds_and_headless_files(spark, tmp_path):
+    rel = write(tmp_path, "rel.csv", "Time,a-0\n0,0\n12.5,43\n")
+    with pytest.raises(Exception, match="relative seconds"):
+        wide_csv.read_wide(spark, rel, "X").collect()
+    placed = wide_csv.read_wide(spark, rel, "X", origin="2024-03-01 00:00:00").orderBy("ts").collect()
+    assert [(r.ts.second, r.ts.microsecond, r.value) for r in placed] == [(0, 0, 0.0), (12, 500000, 43.0)]
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder, "1.csv", HEAT)
+    write(folder, "2.csv", "2024-02-29 23:00:00-05:00,1,2\n")
+    with pytest.raises(ValueError, match="no header line"):
+        wide_csv.read_wide(spark, str(folder), "X")
+
+
 def test_long_table_round_trip_is_partitioned(spark, tmp_path):
     long = wide_csv.read_wide(spark, write(tmp_path, "heat.csv", HEAT), "GPU_TEMP")
     out = str(tmp_path / "long")
