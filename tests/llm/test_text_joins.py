@@ -8,7 +8,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_oracles import _one_of_each, _without_windows
+from llm.test_oracles import _one_of_each, _without_windows
 
 from fleetlens.llm import hashing, jaccard_join, simhash, substring_dedup
 
