@@ -28,6 +28,8 @@ from fleetlens.session import materialize, scratch_path
 REVISIT_BYTES = 1000
 ROLL_BYTES = 16 << 20
 CHUNK = 1 << 16
+#: Tasks that read archives; beyond that many a task reads several.
+MOST_TASKS = 20_000
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -282,7 +284,9 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return manifest.select("archive").repartition(F.col("archive")).mapInArrow(run, READ)
+    # a task for each archive: the listing itself is too small for Spark to spread
+    spread = max(1, min(manifest.count(), MOST_TASKS))
+    return manifest.select("archive").repartition(spread).mapInArrow(run, READ)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
