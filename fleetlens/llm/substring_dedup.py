@@ -25,7 +25,6 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,14 +53,21 @@ def text_rows(docs: DataFrame) -> DataFrame:
 
 
 def segments(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window, number of windows, and whether the anchor occurs twice inside, of each segment."""
-    grams = sliding_window_view(window_hashes(hashes, GRAM), SPAN)
-    at = np.arange(len(grams))
-    first, last = grams.argmin(axis=1), SPAN - 1 - grams[:, ::-1].argmin(axis=1)
-    anchor = grams[at, first]
-    starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    inner = np.minimum.reduceat(at + first, starts) != np.maximum.reduceat(at + last, starts)
-    return anchor[starts], starts, np.diff(np.r_[starts, len(grams)]), inner
+    """Anchor, first window, number of windows, and whether windows may repeat inside, of each segment.
+
+    The smallest gram of every window is found by doubling the width, with the
+    place of its first occurrence. Equal windows of one segment have it at equal
+    distances, so it then stands at several places.
+    """
+    low, place, width = window_hashes(hashes, GRAM), np.arange(len(hashes) - GRAM + 1), 1
+    while width < SPAN:
+        step = min(width, SPAN - width)
+        later = low[step:] < low[:-step]
+        low, place = np.where(later, low[step:], low[:-step]), np.where(later, place[step:], place[:-step])
+        width += step
+    starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    inner = np.minimum.reduceat(place, starts) != np.maximum.reduceat(place, starts)
+    return low[starts], starts, np.diff(np.r_[starts, len(low)]), inner
 
 
 def anchors_of(text: bytes | None, hashes: WordHashes) -> np.ndarray:
