@@ -152,25 +152,32 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     RADIUS bits; it is null for the rest.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text"))
+    # a null id has a flag of its own, so that keys are plain columns and one shuffle of the texts serves both joins
+    named = docs.select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text"))
     counted = materialize(
-        rows.groupBy("doc_id", "h").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies")), "ids"
+        named.groupBy("doc_id", "h").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies")), "ids"
     )
+    rows = named.select(*_key("doc_id", "id0", "id_null"), "h", "text")
     succession = materialize(ring(counted.select("doc_id", "h")), "succession")
     wanted = succession.alias("s").join(counted.alias("c"), F.expr("s.doc_id <=> c.doc_id AND s.h = c.h"))
     give = wanted.select(
-        F.col("s.doc_id").alias("to_id"), F.col("s.h").alias("to_h"), "next_id", "next_h", F.expr("n div 3").cast("int").alias("k")
+        *_key("s.doc_id", "to0", "to_null"),
+        F.col("s.h").alias("to_h"),
+        *_key("next_id", "next0", "next_null"),
+        "next_h",
+        F.expr("n div 3").cast("int").alias("k"),
     ).alias("w")
-    source = rows.alias("d").join(give, F.expr("d.doc_id <=> w.next_id AND d.h = w.next_h"))
+    source = rows.alias("d").join(give, F.expr("d.id0 = w.next0 AND d.id_null = w.next_null AND d.h = w.next_h"))
     heads = (
-        source.select("to_id", "to_h", "k", F.expr("left(text, k)").alias("head"))
-        .groupBy("to_id", "to_h")
+        source.select("to0", "to_null", "to_h", "k", F.expr("left(text, k)").alias("head"))
+        .groupBy("to0", "to_null", "to_h")
         .agg(F.max("k").alias("k"), F.max("head").alias("head"))
         .alias("p")
     )
-    both = rows.alias("d").join(heads, F.expr("d.doc_id <=> p.to_id AND d.h = p.to_h"))
+    both = rows.alias("d").join(heads, F.expr("d.id0 = p.to0 AND d.id_null = p.to_null AND d.h = p.to_h"))
     kept = F.expr("left(text, length(text) - k)")
-    edited = both.select("doc_id", "h", "text", F.concat(kept, F.col("head")).alias("edited"))
+    doc_id = F.when(~F.col("id_null"), F.col("id0")).alias("doc_id")
+    edited = both.select(doc_id, "h", "text", F.concat(kept, F.col("head")).alias("edited"))
     versions = F.array(
         F.struct(F.lit(0).alias("version"), F.col("text").alias("text"), F.lit(None).cast("string").alias("edited_sha256")),
         F.struct(F.lit(1).alias("version"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("edited_sha256")),
@@ -184,6 +191,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     return _compared(prints, succession, counted)
 
 
+def _key(column: str, value: str, null: str) -> tuple[Column, Column]:
+    return F.coalesce(column, F.lit(0).cast("long")).alias(value), F.isnull(column).alias(null)
+
+
 def _compared(prints: DataFrame, succession: DataFrame, counted: DataFrame) -> DataFrame:
     own, edit = (F.when(F.col("version") == v, F.struct("hi", "lo")) for v in (0, 1))
     docs = prints.groupBy("doc_id", "h").agg(
