@@ -16,6 +16,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -31,14 +32,11 @@ from fleetlens.llm.common import texts_of
 NO_RANK = 1 << 30
 SHORT_WORD = 64
 LONG_WORD = 300
-#: Words remembered per worker before the table is emptied (about 100 MB).
-REMEMBERED = 250_000
+#: Words remembered per worker before the table is emptied (about 120 MB).
+REMEMBERED = 600_000
 
-#: Fixed value: the vocabulary's way of parting text.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-#: str.split() also parts at these four, which are no white space to the vocabulary.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-PLAIN_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+#: Fixed value: the vocabulary's way of parting text (no two alternatives begin alike, so their order is free).
+PIECES = regex.compile(r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
 def byte_symbols() -> list[str]:
@@ -72,8 +70,8 @@ class WordBpe:
         order = np.argsort(pairs)
         self._pairs, self._ranks = pairs[order], np.array(list(self.rank.values()), np.int32)[order]
         self._merged, self._inner, self._last = (np.array(x, np.int32) for x in (self.merged, self.inner, self.last))
-        self.pieces: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int]] = {}
+        #: Ids of words and, under their number, of special tokens, as 4-byte little-endian numbers.
+        self.known: dict[str | int, bytes] = {}
 
     def merge(self, word: bytes) -> tuple[list[int], list[int]]:
         """Ids of a word and the boundaries of their parts in bytes."""
@@ -156,45 +154,45 @@ class WordBpe:
                     ranks[r, c] = self._lookup(ids[r, c], ids[r, c + 1])
         return out
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encode the chunks not met before, all together."""
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
-        if len(self.pieces) >= REMEMBERED:
-            self.pieces.clear()
-        fresh = {c: self._parts(c) for c in set(chunks) if c not in self.chunks}
-        new = {p for parts in fresh.values() for p in parts if isinstance(p, str)} - self.pieces.keys()
-        classes: dict[int, list[tuple[str, bytes]]] = {}
-        for p in new:
-            word = p.encode("utf-8", "replace")
-            classes.setdefault(next((w for w in (4, 8, 12, 16, 32, SHORT_WORD) if len(word) <= w), 0), []).append((p, word))
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """Ids of new words, each as bytes."""
+        classes: dict[int, list[tuple[int, bytes]]] = {}
+        for k, w in enumerate(words):
+            word = w.encode("utf-8", "replace")
+            classes.setdefault(next((n for n in (4, 8, 12, 16, 32, SHORT_WORD) if len(word) <= n), 0), []).append((k, word))
+        out = [b""] * len(words)
         for width, members in classes.items():
-            words = [w for _, w in members]
-            merged = self.merge_short(words, width) if width else [self.merge(w)[0] for w in words]
-            self.pieces.update(zip((p for p, _ in members), merged, strict=True))
-        for c, parts in fresh.items():
-            self.chunks[c] = [i for p in parts for i in (self.pieces[p] if isinstance(p, str) else (p,))]
-
-    def _parts(self, chunk: str) -> list[str | int]:
-        """Pieces of a chunk, and the ids of special tokens written in it."""
-        if not self.special_pattern or not (marks := list(self.special_pattern.finditer(chunk))):
-            return _pieces(chunk)
+            texts = [w for _, w in members]
+            merged = self.merge_short(texts, width) if width else [self.merge(w)[0] for w in texts]
+            for (k, _), ids in zip(members, merged, strict=True):
+                out[k] = array("I", ids).tobytes()
+        return out
+
+    def _parts(self, text: str) -> list[str | int]:
+        """Words of a text, and the ids of special tokens written in it."""
+        if not self.special_pattern or not (marks := list(self.special_pattern.finditer(text))):
+            return _pieces(text)
         parts: list[str | int] = []
         at = 0
         for m in marks:
-            parts += [*_pieces(chunk[at : m.start()]), self.special[m[0]]]
+            parts += [*_pieces(text[at : m.start()]), self.special[m[0]]]
             at = m.end()
-        return parts + _pieces(chunk[at:])
+        return parts + _pieces(text[at:])
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text without special tokens added; special tokens written in a text keep their ids.
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, as 4-byte numbers, without special tokens added; those written in a text keep their ids.
 
-        White space only parts words, so every run between it is encoded by itself.
+        The words that no text before had are merged together.
         """
-        parted = [chunks_of(t) for t in texts]
-        self.learn(chain.from_iterable(parted))
-        ids = self.chunks
-        return (list(chain.from_iterable(map(ids.__getitem__, chunks))) for chunks in parted)
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        if not self.known:
+            self.known.update({i: array("I", [i]).tobytes() for i in self.special.values()})
+        parted = [self._parts(t) for t in texts]
+        new = list(set(chain.from_iterable(parted)).difference(self.known))
+        known = self.known
+        known.update(zip(new, self.merge_all(new), strict=True))
+        return (b"".join(map(known.__getitem__, parts)) for parts in parted)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens joined by a space, special ones included; the vocabulary has no other decoder."""
@@ -206,11 +204,6 @@ def _pieces(text: str) -> list[str]:
     return PIECES.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 
-def chunks_of(text: str) -> list[str]:
-    """What stands between white space."""
-    return [c for c in PLAIN_SPACE.split(text) if c] if SEPARATORS.search(text) else text.split()
-
-
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> WordBpe:
     """One vocabulary per Python worker and path."""
@@ -224,7 +217,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for b in batches:
-            ids = pa.array(list(bpe.encode_batch(texts_of(b.column(1)))), pa.list_(pa.int32()))
+            ids = pa.array([np.frombuffer(i, np.int32) for i in bpe.encode_batch(texts_of(b.column(1)))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [id_column, "ids"])
 
     return docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
@@ -243,7 +236,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         decimal = {i: str(i) for i in bpe.token}
         for b in batches:
             counts, digests, decoded = [], [], []
-            for ids in bpe.encode_batch(texts_of(b.column(1))):
+            for found in bpe.encode_batch(texts_of(b.column(1))):
+                ids = np.frombuffer(found, np.uint32).tolist()
                 counts.append(len(ids))
                 digests.append(sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(sha256(bpe.decode(ids).encode()).hexdigest())

@@ -11,6 +11,7 @@ doesn't grow with the number of shards.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetlens.llm.bpe import chunks_of
+from fleetlens.llm.bpe import WordBpe
 from fleetlens.llm.common import texts_of
 from fleetlens.session import materialize
 
@@ -31,51 +32,44 @@ END_ID = 0
 SHARD_PIECES = 40_000
 OPEN_SHARE = 0.02
 MERGE_SHARDS = 16
-REMEMBERED = 250_000
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = f"{PIECE}, sequence_id bigint, offset bigint, room bigint"
 
 
-class ChunkIds:
-    """Ids (4-byte little-endian) by the tokenizers library, remembered for runs between white space.
-
-    The vocabulary drops white space and never joins across it, so a text's ids
-    are those of its runs, one after the other.
-    """
+class LibraryIds(WordBpe):
+    """Ids by the tokenizers library; only words not met before are sent to it, many at once."""
 
     def __init__(self, path: str) -> None:
+        super().__init__(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # a special token written in a text is found before anything else, so it parts runs that are sent together
+        # a special token written in a text is found before anything else, so it parts words that are sent together
         self.mark, self.mark_id = next(
             (t.content, i)
             for i, t in self.tokenizer.get_added_tokens_decoder().items()
             if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)
         )
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        parted = [chunks_of(t) for t in texts]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        fresh = {c for chunks in parted for c in chunks if c not in self.known}
-        odd = [c for c in fresh if self.mark in c]
-        self._learn(odd, [[c] for c in odd])
-        plain = list(fresh.difference(odd))
-        groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
-        self._learn([self.mark.join(g) for g in groups], groups)
-        known = self.known
-        return (b"".join(map(known.__getitem__, chunks)) for chunks in parted)
-
-    def _learn(self, texts: list[str], groups: list[list[str]]) -> None:
+
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        # words are normalized already; a few would not survive the library's normalizing them again
+        odd = [w for w in words if not w.isascii() and not (w.islower() and unicodedata.is_normalized("NFC", w))]
+        if odd:
+            known = dict(zip(odd, super().merge_all(odd), strict=True))
+            rest = [w for w in words if w not in known]
+            known.update(zip(rest, self.merge_all(rest), strict=True))
+            return [known[w] for w in words]
+        groups = [words[at : at + 500] for at in range(0, len(words), 500)]
+        out: list[bytes] = []
+        texts = [self.mark.join(g) for g in groups]
         for e, group in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), groups, strict=True):
             ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id) if len(group) > 1 else []
-            flat, edges = ids.tobytes(), [-1, *cuts, len(ids)]
-            for c, a, b in zip(group, edges[:-1], edges[1:], strict=True):
-                self.known[c] = flat[4 * (a + 1) : 4 * b]
+            flat, edges = ids.tobytes(), [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            if len(edges) != len(group) + 1:
+                raise ValueError("a word holds the mark")
+            out += [flat[4 * (a + 1) : 4 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return out
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -86,11 +80,11 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = ChunkIds(path), np.array([end_id], "<u4").tobytes()
+        library, end = LibraryIds(path), np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for b in batches:
             out: list[list[int | None]] = [[], [], [], [], []]
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode(texts_of(b.column(1))), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), library.encode_batch(texts_of(b.column(1))), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
