@@ -83,33 +83,76 @@ def sketch_slot(h: np.ndarray) -> np.ndarray:
     return (mixed(h) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def count_sketch(docs: DataFrame, hashes_of: Callable[[bytes | None, WordHashes], np.ndarray]) -> np.ndarray:
-    """How many of the texts' hashes fall in each of 2^SKETCH_BITS slots, at most 65,535.
+def sketch_parts(hashes: list[np.ndarray], total: np.ndarray) -> None:
+    """Count a batch's hashes into ``total`` (2^SKETCH_BITS slots)."""
+    total += np.bincount(sketch_slot(np.concatenate(hashes)), minlength=len(total)).astype(np.uint32)
 
-    A slot's count is at least that of each hash in it. The sketch has a fixed
-    size, so it may be collected and broadcast.
-    """
-    slots = 1 << SKETCH_BITS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(slots, np.uint32)
-        for b in batches:
-            found = [hashes_of(text, hashes) for text in b.column(0).to_pylist()]
-            total += np.bincount(sketch_slot(np.concatenate(found)), minlength=slots).astype(np.uint32)
-        parts = np.minimum(total, 65535).astype(np.uint16).reshape(SLICES, -1)
-        arrays = [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["slice", "counts"])
+def sketch_rows(total: np.ndarray) -> list[bytes]:
+    """A task's sketch in SLICES parts of 16-bit counts, at most 65,535."""
+    return [p.tobytes() for p in np.minimum(total, 65535).astype(np.uint16).reshape(SLICES, -1)]
+
+
+def merged_sketch(parts: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches (rows ``slice``, ``counts``). It has a fixed size, so it may be collected and broadcast.
+
+    A slot's count is at least that of each hash in it.
+    """
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(slots // SLICES, np.uint32)
+        total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint32)
         for part in table.column("counts"):
             total = np.minimum(total + np.frombuffer(part.as_buffer(), np.uint16), 65535)
         merged = pa.array([total.astype(np.uint16).tobytes()], pa.binary())
         return pa.table([table.column("slice").slice(0, 1), pa.chunked_array([merged])], names=["slice", "counts"])
 
-    schema = "slice int, counts binary"
-    parts = docs.select(F.col("text").cast("binary")).mapInArrow(count, schema)
-    out = np.zeros((SLICES, slots // SLICES), np.uint16)
-    for r in parts.groupBy("slice").applyInArrow(add, schema).collect():
+    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint16)
+    for r in parts.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
         out[r["slice"]] = np.frombuffer(r["counts"], np.uint16)
     return out.reshape(-1)
+
+
+def count_sketch(docs: DataFrame, hashes_of: Callable[[bytes | None, WordHashes], np.ndarray]) -> np.ndarray:
+    """How many of the texts' hashes fall in each slot; see ``merged_sketch``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        for b in batches:
+            sketch_parts([hashes_of(text, hashes) for text in b.column(0).to_pylist()], total)
+        arrays = [pa.array(range(SLICES), pa.int32()), pa.array(sketch_rows(total), pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["slice", "counts"])
+
+    return merged_sketch(docs.select(F.col("text").cast("binary")).mapInArrow(count, "slice int, counts binary"))
+
+
+#: Bits of the row filter (4 MB); more rows only let more of the others through.
+FILTER_BITS = 25
+
+
+def filter_slot(h: np.ndarray) -> np.ndarray:
+    return (mixed(h.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def row_filter(rows: DataFrame) -> bytes:
+    """A bit set of fixed size that holds the 64-bit numbers in the first column of ``rows``, and few others."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << FILTER_BITS, bool)
+        for b in batches:
+            flags[filter_slot(b.column(0).to_numpy())] = True
+        parts = np.packbits(flags).reshape(SLICES, -1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "bits"]
+        )
+
+    def join(table: pa.Table) -> pa.Table:
+        bits = np.zeros((1 << FILTER_BITS) // 8 // SLICES, np.uint8)
+        for part in table.column("bits"):
+            bits |= np.frombuffer(part.as_buffer(), np.uint8)
+        return pa.table([table.column("slice").slice(0, 1), pa.chunked_array([pa.array([bits.tobytes()], pa.binary())])], names=["slice", "bits"])
+
+    schema = "slice int, bits binary"
+    found = rows.coalesce(8).mapInArrow(mark, schema).groupBy("slice").applyInArrow(join, schema).collect()
+    by_slice = {r["slice"]: bytes(r["bits"]) for r in found}
+    empty = bytes((1 << FILTER_BITS) // 8 // SLICES)
+    return b"".join(by_slice.get(k, empty) for k in range(SLICES))

@@ -10,9 +10,10 @@ hashed shingles, the bits in which two bitmaps differ bound the overlap from
 above, and only pairs that pass are intersected as sorted arrays.
 
 A group of near copies has a number of pairs that grows with its square. So a
-first round links every class with one leader of its buckets; the second round
-compares only pairs that are not connected yet. All links between different
-components are tried, so the components are those of the complete join.
+first round links every class with leaders of its buckets, further ones with its
+closest partner in another component; the last round compares all pairs that are
+not connected yet. So every link between different components is tried, and the
+components are those of the complete join.
 """
 
 from __future__ import annotations
@@ -27,7 +28,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import WORD
-from fleetlens.llm.hashing import WordHashes, components, count_sketch, sketch_slot, window_hashes
+from fleetlens.llm.hashing import (
+    SKETCH_BITS,
+    SLICES,
+    WordHashes,
+    components,
+    filter_slot,
+    merged_sketch,
+    row_filter,
+    sketch_parts,
+    sketch_rows,
+    sketch_slot,
+    window_hashes,
+)
 from fleetlens.session import materialize
 
 SHINGLE = 5
@@ -37,6 +50,11 @@ HOT = 4096
 SALTS = 256
 #: Bitmap widths: the power of two from the set's size on, between these.
 MIN_BITS, MAX_BITS = 64, 1 << 16
+#: Leaders tried for a class in the first round, and buckets that are compared by their members in the second.
+LEADERS = 4
+FEW = 16
+#: Rounds of closest partners before all pairs left are compared; more only save pairs.
+ROUNDS = 3
 #: Buckets beyond this are cut into tiles of about so many sets.
 TILE = 1024
 
@@ -63,23 +81,37 @@ def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
     return n - (3 * n + 3) // 4 + 1
 
 
+DESCRIBED = "doc_id bigint, h bigint, n bigint, key bigint, bits binary, slice int, counts binary"
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id``, ``h`` (hash of the text), ``n``, ``key`` (hash of the shingle set), ``bits``."""
+    """Per row: ``doc_id``, ``h`` (hash of the text), ``n``, ``key`` (hash of the shingle set), ``bits``.
+
+    The same pass counts the shingles: rows with a ``slice`` hold a task's part of the count sketch.
+    """
+    names = [c.split()[0] for c in DESCRIBED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, total = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            sizes, keys, bits = [], [], []
-            for text in b.column(2).to_pylist():
-                s = shingle_set(text, hashes)
-                sizes.append(len(s))
-                keys.append(set_key(s))
-                bits.append(bitmap(s) if len(s) else b"")
-            arrays = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "n", "key", "bits"])
+            sets = [shingle_set(text, hashes) for text in b.column(2).to_pylist()]
+            sketch_parts(sets, total)
+            arrays = [
+                b.column(0),
+                b.column(1),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([set_key(s) for s in sets], pa.int64()),
+                pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()),
+                pa.nulls(len(sets), pa.int32()),
+                pa.nulls(len(sets), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+        empty = [pa.nulls(SLICES, k) for k in (pa.int64(),) * 4 + (pa.binary(),)]
+        parts = [pa.array(range(SLICES), pa.int32()), pa.array(sketch_rows(total), pa.binary())]
+        yield pa.RecordBatch.from_arrays(empty + parts, names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, h bigint, n bigint, key bigint, bits binary")
+    return rows.mapInArrow(run, DESCRIBED)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -171,13 +203,22 @@ def close_by_bits(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def tile_pairs(key: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Pairs of one tile that differ in label and pass sizes and bitmaps; ``side`` 0 meets 0 and 1, 1 only meets 0."""
+def tile_pairs(
+    key: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, bits: list[bytes], closest: bool
+) -> dict[tuple[int, int], int]:
+    """Pairs of one tile that differ in label and pass sizes and bitmaps, with the bits they differ in.
+
+    ``closest``: of each set only the pair with the fewest differing bits for its
+    size. ``side`` 0 meets 0 and 1, 1 only meets 0.
+    """
     order = np.argsort(n, kind="stable")
     key, n, label, side = key[order], n[order], label[order], side[order]
     width = np.array([len(bits[i]) for i in order])
     rows = {w: np.flatnonzero(width == w) for w in np.unique(width)}
     maps = {w: np.frombuffer(b"".join(bits[order[i]] for i in r), np.uint8).reshape(len(r), w) for w, r in rows.items()}
+    found: dict[tuple[int, int], int] = {}
+    best = np.full(len(key), np.inf)
+    partner = np.full(len(key), -1)
     for i in range(len(key)):
         own = maps[width[i]][np.searchsorted(rows[width[i]], i)]
         for w, r in rows.items():
@@ -189,42 +230,71 @@ def tile_pairs(key: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarr
             if not open_.any():
                 continue
             other, there = other[open_], maps[w][start:stop][open_]
-            good = other[fits_by_bits(n[other], n[i], differing_bits(own, there))]
-            for j in good.tolist():
-                yield (int(key[i]), int(key[j])) if key[i] < key[j] else (int(key[j]), int(key[i]))
-
-
-def open_pairs(tiles: DataFrame) -> DataFrame:
-    """Candidate pairs of all tiles; ``tiles`` has tile columns, key, n, label, side, bits."""
+            differ = differing_bits(own, there)
+            good = fits_by_bits(n[other], n[i], differ)
+            other, differ = other[good], differ[good]
+            if not len(other):
+                continue
+            if closest:
+                share = differ / (n[other] + n[i])
+                nearer = share < best[other]
+                best[other[nearer]], partner[other[nearer]] = share[nearer], i
+                if share.min() < best[i]:
+                    best[i], partner[i] = share.min(), other[share.argmin()]
+            else:
+                for j, d in zip(other.tolist(), differ.tolist(), strict=True):
+                    found[tuple(sorted((int(key[i]), int(key[j]))))] = d
+    for i in np.flatnonzero(partner >= 0).tolist():
+        j = int(partner[i])
+        found[tuple(sorted((int(key[i]), int(key[j]))))] = int(best[i] * 1_000_000)
+    return found
+
+
+def open_pairs(tiles: DataFrame, closest: bool = False) -> DataFrame:
+    """Candidate pairs (``a`` < ``b``, ``apart``) of all tiles; ``tiles`` has tile columns, key, n, label, side, bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        held: list[pa.RecordBatch] = []
+        current = None
+        done: dict[tuple[int, int], int] = {}
+
+        def finish() -> None:
             t = pa.Table.from_batches(held)
             key, n, label, side = (t.column(c).to_numpy() for c in ("key", "n", "label", "side"))
-            found = list(dict.fromkeys(tile_pairs(key, n.astype(np.int64), label, side, t.column("bits").to_pylist())))
-            if not found:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+            done.update(tile_pairs(key, n.astype(np.int64), label, side, t.column("bits").to_pylist(), closest))
+            held.clear()
+
+        def out() -> pa.RecordBatch:
+            columns = [*zip(*done, strict=True), list(done.values())]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "apart"])
 
-        held: list[pa.RecordBatch] = []
-        current = None
         for b in batches:
             ids = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             at = 0
             for k in range(1, len(ids) + 1):
                 if k == len(ids) or ids[k] != ids[at]:
                     if ids[at] != current and held:
-                        if (out := finish(held)) is not None:
-                            yield out
-                        held = []
+                        finish()
                     current = ids[at]
                     held.append(b.slice(at, k - at))
                     at = k
-        if held and (out := finish(held)) is not None:
-            yield out
+            if len(done) > 50_000:  # pairs met in several tiles leave once
+                yield out()
+        if held:
+            finish()
+        if done:
+            yield out()
 
     dealt = tiles.repartition("token", "tile").sortWithinPartitions("token", "tile")
-    return dealt.select("token", "tile", "key", "n", "label", "side", "bits").mapInArrow(run, "a bigint, b bigint").distinct()
+    pairs = dealt.select("token", "tile", "key", "n", "label", "side", "bits").mapInArrow(run, "a bigint, b bigint, apart bigint")
+    return pairs.groupBy("a", "b").agg(F.min("apart").alias("apart"))
+
+
+def closest_pairs(pairs: DataFrame) -> DataFrame:
+    """Of all pairs the closest one of each key: at most one row per key."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"), F.struct("apart", "a", "b").alias("x"))
+    return ends.groupBy("key").agg(F.min("x").alias("x")).select("x.a", "x.b").distinct()
 
 
 def band_of(n: Column) -> Column:
@@ -260,64 +330,119 @@ def tiles_of(rows: DataFrame) -> DataFrame:
     return small.unionByName(large.select("token", "t.tile", "key", "n", "label", "t.side", "bits"))
 
 
-def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """``key``, ``label``: classes that are linked with another one, and their component's smallest key."""
-    spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(count_sketch(docs, shingle_set).tobytes())
-    kept = materialize(shared_shingles(prefixes(docs, sketch)), "shared-shingles")
-    classes = described.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.first("bits").alias("bits"))
-    classes = materialize(classes.join(kept.select("key").distinct(), "key"), "classes")
-    sets = _sets(docs, classes)
+def leaders_of(kept: DataFrame) -> DataFrame:
+    """``a``, ``na``, ``b``, ``nb``: up to LEADERS leaders for each class, those it shares most buckets with.
 
-    # round 1: the leader that shares most buckets with a class
-    band = band_of(F.col("n"))
-    leaders = kept.groupBy("token", band.alias("band")).agg(F.min(F.struct("key", "n")).alias("lead"))
+    A bucket's leaders are the smallest key of each size band, and the class
+    with the largest share of its first shingles in buckets: of copies of one
+    text, the text that was least changed.
+    """
+    prefix = F.col("n") - F.expr("(3 * n + 3) div 4") + 1
+    shares = kept.groupBy("key", "n").agg((F.count("*") / F.first(prefix)).alias("share")).select("key", "share")
+    rows = kept.join(shares, "key").withColumn("band", band_of(F.col("n")))
+    pair = F.struct("key", "n")
+    heads = rows.groupBy("token", "band").agg(F.array(F.min(pair), F.max_by(pair, F.struct("share", "key"))).alias("leads"))
     met = (
-        kept.withColumn("band", band)
-        .join(leaders, ["token", "band"])
+        rows.join(heads, ["token", "band"])
+        .select("key", "n", F.explode("leads").alias("lead"))
         .where("key <> lead.key")
         .groupBy("key", "n", "lead")
         .agg(F.count("*").alias("buckets"))
     )
-    best = met.groupBy("key", "n").agg(F.max(F.struct("buckets", "lead")).alias("best"))
-    first = best.select(
-        F.col("key").alias("a"), F.col("best.lead.key").alias("b"), F.col("n").alias("na"), F.col("best.lead.n").alias("nb")
-    )
-    bits = classes.select("key", "bits")
-    with_bits = first.join(bits.select(F.col("key").alias("a"), F.col("bits").alias("bits_a")), "a").join(
-        bits.select(F.col("key").alias("b"), F.col("bits").alias("bits_b")), "b"
-    )
-    links = materialize(verified(close_by_bits(with_bits), sets), "links-1")
+    order = Window.partitionBy("key").orderBy(F.desc("buckets"), "lead")
+    best = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS)
+    return best.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("lead.key").alias("b"), F.col("lead.n").alias("nb"))
 
-    # round 2: what the buckets hold of different components
-    labels = materialize(components(links), "labels-1")
-    labelled = kept.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+def open_buckets(labelled: DataFrame) -> DataFrame:
+    """``token``, ``key``, ``n``, ``label``, ``size`` of the buckets with several labels; equal small buckets are one.
+
+    Two documents that share a passage share many buckets and no more, so small
+    buckets are told apart by their members, whose hash is then the token.
+    """
     mixed_up = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-    rows = labelled.join(mixed_up.where("lo < hi").select("token", "size"), "token").join(bits, "key")
-    more = verified(materialize(open_pairs(tiles_of(rows)), "pairs-2"), sets)
-    return components(links.unionByName(materialize(more, "links-2")))
+    rows = labelled.join(mixed_up.where("lo < hi").select("token", "size"), "token")
+    few = rows.where(F.col("size") <= FEW).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("key", "n", "label"))).alias("members"))
+    small = few.select("members").distinct().select(
+        F.xxhash64("members").alias("token"), F.explode("members").alias("m"), F.size("members").cast("long").alias("size")
+    )
+    large = rows.where(F.col("size") > FEW).select("token", "key", "n", "label", "size")
+    return small.select("token", "m.key", "m.n", "m.label", "size").unionByName(large)
+
 
+def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
+    """``key``, ``label``: classes that are linked with another one, and their component's smallest key."""
+    spark = docs.sparkSession
+    sketch = spark.sparkContext.broadcast(merged_sketch(described.where("slice IS NOT NULL").select("slice", "counts")).tobytes())
+    kept = materialize(shared_shingles(prefixes(docs, sketch)), "shared-shingles")
+    classes = described.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.first("bits").alias("bits"))
+    classes = materialize(classes.join(kept.select("key").distinct(), "key"), "classes")
+    bits = classes.select("key", "bits")
 
-def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``key``, ``shingles`` of one document per class, computed from its text again."""
+    # round 1: leaders
+    leads = leaders_of(kept)
+    with_bits = leads.join(bits.select(F.col("key").alias("a"), F.col("bits").alias("bits_a")), "a").join(
+        bits.select(F.col("key").alias("b"), F.col("bits").alias("bits_b")), "b"
+    )
+    close = materialize(close_by_bits(with_bits), "pairs-1")
+    links = materialize(verified(close, _sets(docs, classes, close)), "links-1")
+
+    # rounds of closest partners: a class that has any open pair left names its closest one
+    labelled = _labelled(kept, links)
+    near = materialize(open_pairs(tiles_of(open_buckets(labelled).join(bits, "key")), closest=True), "closest")
+    keys = materialize(near.select(F.col("a").alias("key")).union(near.select("b")).distinct(), "open-keys")
+    sets = _sets(docs, classes, near)  # later pairs are among these: labels only ever merge
+    kept, bits = materialize(kept.join(keys, "key"), "open-shingles"), materialize(bits.join(keys, "key"), "open-bits")
+    for _ in range(ROUNDS):
+        found = materialize(verified(closest_pairs(near), sets), "links")
+        if found.isEmpty():
+            break
+        links = materialize(links.unionByName(found), "links")
+        labelled = _labelled(kept, links)
+        near = materialize(open_pairs(tiles_of(open_buckets(labelled).join(bits, "key")), closest=True), "closest")
+
+    # last round: all that is still open
+    more = materialize(open_pairs(tiles_of(open_buckets(labelled).join(bits, "key"))), "pairs")
+    found = materialize(verified(more.select("a", "b"), sets), "links")
+    return components(links.unionByName(found))
+
+
+def _labelled(kept: DataFrame, links: DataFrame) -> DataFrame:
+    labels = materialize(components(links), "labels")
+    return kept.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``key``, ``shingles`` of the classes in ``pairs``, from the text of one document each.
+
+    A bit set of fixed size says which rows may be wanted, so that texts are
+    read again but not shuffled; what it lets through besides is dropped by key.
+    """
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = materialize(classes.join(keys, "key").select(F.xxhash64("row.doc_id", "row.h").alias("id"), "key"), "wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(row_filter(wanted.select("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, flags = WordHashes(), np.frombuffer(bits.value, np.uint8)
         for b in batches:
-            sets = [shingle_set(t, hashes).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
+            slot = filter_slot(b.column(0).to_numpy())
+            rows = np.flatnonzero(flags[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+            if not len(rows):
+                continue
+            sets = [shingle_set(t, hashes) for t in b.column(1).take(pa.array(rows)).to_pylist()]
+            arrays = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "shingles"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).alias("d")
-    wanted = classes.select("key", "row.doc_id", "row.h").alias("c")
-    found = rows.join(wanted, F.expr("d.doc_id <=> c.doc_id AND d.h = c.h")).select("key", "text")
-    return materialize(found.mapInArrow(run, "key bigint, shingles binary").dropDuplicates(["key"]), "shingle-sets")
+    rows = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("id"), F.col("text").cast("binary").alias("text"))
+    found = rows.mapInArrow(run, "key bigint, shingles binary").join(wanted.select("key"), "key", "left_semi")
+    return materialize(found.dropDuplicates(["key"]), "shingle-sets")
 
 
 def classify(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, h, n, key, label; the label is null for texts without words."""
     described = materialize(describe(docs), "described")
     labels = link_classes(docs, described)
-    described = described.drop("bits")
+    described = described.where("slice IS NULL").select("doc_id", "h", "n", "key")
     keys = described.where("n > 0").select("key").distinct().join(labels, "key", "left")
     known = materialize(keys.select("key", F.coalesce("label", "key").alias("label")), "labels")
     return described.join(known, "key", "left")
