@@ -1,6 +1,6 @@
-"""Document fingerprints: SimHash, and block tables that find all of them within a Hamming radius.
+"""Document fingerprints: SimHash, and tables that find all of them within a Hamming radius.
 
-Column expressions, grouping and joins only. Terms are three-word shingles; each
+Column expressions, grouping and joins only. Terms are five-word shingles; each
 occurrence of a term votes, so a term weighs as often as it occurs. Bit i of a
 fingerprint is set if more of the weight has bit i set in its hash than not. Two
 votes share a 64-bit sum (lanes of 32 bits), so 128 bits take 64 sums and no
@@ -9,6 +9,7 @@ array is held per document.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,16 +18,23 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import let, words
 from fleetlens.session import materialize
 
-SHINGLE = 3
+SHINGLE = 5
 BITS = 128
 LANES = 0x0000000100000001
 LANE = 0xFFFFFFFF
-#: Radius of the search; the fingerprint is cut into RADIUS + 1 blocks.
+#: Radius that four blocks of equal bits cover (``within_radius``).
 RADIUS = 3
+#: Neighbours are sought at this Jaccard likeness: sets of equal size then have a cosine of 2 J / (1 + J), and
+#: fingerprints differ on average in the share angle / pi of their bits.
+NEAR = 0.75
+NEAR_RADIUS = round(BITS * math.acos(2 * NEAR / (1 + NEAR)) / math.pi)
+#: Parts of a fingerprint that key the tables of ``neighbours``.
+PART_BITS = 16
+PARTS = BITS // PART_BITS
 
 
 def terms(text: Column) -> Column:
-    """Hashes of all three-word shingles of a text; of a shorter one that has words, its words as one term."""
+    """Hashes of all five-word shingles of a text; of a shorter one that has words, its words as one term."""
 
     def shingles(w: Column) -> Column:
         whole = F.transform(
@@ -115,6 +123,54 @@ def within_radius(queries: DataFrame, table: DataFrame, radius: int = RADIUS) ->
     return found.select("q_hi", "q_lo", "hi", "lo", distance(q, t).alias("distance"))
 
 
+def part_shares(radius: int) -> list[int]:
+    """Bits each part may differ by (-1: part not needed).
+
+    Shares and one more bit per part add up to radius + 1, so two fingerprints
+    that exceed the share in every part differ in more than ``radius`` bits.
+    """
+    return [(radius + 1) // PARTS + (k < (radius + 1) % PARTS) - 1 for k in range(PARTS)]
+
+
+def _parts(hi: Column, lo: Column) -> list[Column]:
+    shifts = range(64 - PART_BITS, -1, -PART_BITS)
+    return [F.shiftright(x, s).bitwiseAND(F.lit((1 << PART_BITS) - 1)) for x in (hi, lo) for s in shifts]
+
+
+def neighbours(queries: DataFrame, table: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
+    """All pairs of rows of two fingerprint tables (``hi``, ``lo``; no repeats) within ``radius`` bits.
+
+    One table per part of 16 bits, keyed by the part's value. A query looks up
+    every value within the part's share (see ``part_shares``), so no pair is
+    missed at any radius; the join checks the whole distance and keeps a pair
+    from the first part that it meets in. Other columns of ``table`` are kept.
+    Columns: q_hi, q_lo, those of ``table``, distance.
+    """
+    spark, shares = queries.sparkSession, part_shares(radius)
+    near = [[x for x in range(1 << PART_BITS) if x.bit_count() <= share] for share in shares]
+    # at most some thousand rows for radii in use
+    flips = spark.createDataFrame([(k, x) for k, masks in enumerate(near) for x in masks], "part int, mask bigint")
+
+    def key(part: Column, value: Column) -> Column:
+        return F.shiftleft(part.cast("bigint"), PART_BITS).bitwiseOR(value)
+
+    asked = queries.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"))
+    value = F.element_at(F.array(*_parts(F.col("q_hi"), F.col("q_lo"))), F.col("part") + 1)
+    probes = asked.join(F.broadcast(flips)).select("q_hi", "q_lo", key(F.col("part"), value.bitwiseXOR(F.col("mask"))).alias("key"))
+    kept = [F.col(c) for c in table.columns]
+    keyed = table.select(*kept, F.posexplode(F.array(*_parts(F.col("hi"), F.col("lo")))).alias("part", "value"))
+    keyed = keyed.where(F.col("part").isin([k for k, share in enumerate(shares) if share >= 0]))
+    keyed = keyed.select(*kept, key(F.col("part"), F.col("value")).alias("key"))
+
+    q, t = (F.col("q_hi"), F.col("q_lo")), (F.col("hi"), F.col("lo"))
+    apart = _parts(q[0].bitwiseXOR(t[0]), q[1].bitwiseXOR(t[1]))
+    part = F.shiftright(F.col("p.key"), PART_BITS)
+    first = [(part <= k) | (F.bit_count(x) > share) for k, (x, share) in enumerate(zip(apart, shares, strict=True))]
+    condition = reduce(Column.__and__, first, (F.col("p.key") == F.col("t.key")) & (distance(q, t) <= radius))
+    found = probes.alias("p").join(keyed.alias("t"), condition)
+    return found.select("q_hi", "q_lo", *kept, distance(q, t).alias("distance"))
+
+
 def ring(keys: DataFrame) -> DataFrame:
     """``keys`` (doc_id, h) with ``next_id``, ``next_h``: the next row by descending id, after the last the first.
 
@@ -149,8 +205,41 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     values and each give a row; an only document is followed by itself; an
     empty table gives no row. Columns beyond doc_id and text are ignored.
     ``n_near``, for ids divisible by 20, counts the other documents within
-    RADIUS bits; it is null for the rest.
+    NEAR_RADIUS bits; it is null for the rest.
     """
+    rows = _compared(docs)
+    return _documents(rows, _found(rows))
+
+
+def fingerprints_and_links(docs: DataFrame) -> DataFrame:
+    """The rows of ``edited_fingerprints``, and a row per link of an id divisible by 20 to a class of equal fingerprints.
+
+    A link has ``doc_id`` and ``fingerprint`` of the document that asks,
+    ``near_fingerprint`` (the class: its members are the documents with that
+    ``fingerprint``), ``near_distance`` in bits and ``near_documents``, the
+    members without the document itself; all else is null. A document's own
+    class is listed if it has other members. Equal rows share their links.
+    """
+    rows = _compared(docs)
+    found = materialize(_found(rows), "neighbours")
+    asks = rows.where(ASKS).select("doc_id", F.col("f.hi").alias("q_hi"), F.col("f.lo").alias("q_lo")).distinct()
+    others = F.col("documents") - (F.col("distance") == 0).cast("int")
+    links = asks.join(found, ["q_hi", "q_lo"]).select(
+        "doc_id",
+        printed(F.col("q_hi"), F.col("q_lo")).alias("fingerprint"),
+        printed(F.col("hi"), F.col("lo")).alias("near_fingerprint"),
+        F.col("distance").alias("near_distance"),
+        others.alias("near_documents"),
+    )
+    return _documents(rows, found).unionByName(links.where("near_documents > 0"), allowMissingColumns=True)
+
+
+#: Documents whose neighbours are sought.
+ASKS = "coalesce(doc_id % 20 = 0, false)"
+
+
+def _compared(docs: DataFrame) -> DataFrame:
+    """One written row per different (doc_id, text): ``copies``, fingerprint ``f``, edited ``e`` and that of the next, ``after``."""
     text = F.coalesce("text", F.lit(""))
     # a null id has a flag of its own, so that keys are plain columns and one shuffle of the texts serves both joins
     named = docs.select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text"))
@@ -188,35 +277,32 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         fingerprints(each.select("doc_id", "h", "n_chars", "v.*"), "doc_id", "h", "n_chars", "version", "edited_sha256"),
         "fingerprints",
     )
-    return _compared(prints, succession, counted)
-
-
-def _key(column: str, value: str, null: str) -> tuple[Column, Column]:
-    return F.coalesce(column, F.lit(0).cast("long")).alias(value), F.isnull(column).alias(null)
-
-
-def _compared(prints: DataFrame, succession: DataFrame, counted: DataFrame) -> DataFrame:
     own, edit = (F.when(F.col("version") == v, F.struct("hi", "lo")) for v in (0, 1))
     docs = prints.groupBy("doc_id", "h").agg(
         F.max("n_chars").alias("n_chars"), F.max("edited_sha256").alias("edited_sha256"), F.max(own).alias("f"), F.max(edit).alias("e")
     )
     c, s, d, n = counted.alias("c"), succession.alias("s"), docs.alias("d"), docs.select("doc_id", "h", "f").alias("n")
-    rows = (
+    compared = (
         c.join(s, F.expr("c.doc_id <=> s.doc_id AND c.h = s.h"))
         .join(d, F.expr("c.doc_id <=> d.doc_id AND c.h = d.h"))
         .join(n, F.expr("s.next_id <=> n.doc_id AND s.next_h = n.h"))
         .select("c.doc_id", "c.copies", "d.n_chars", "d.edited_sha256", "d.f", "d.e", F.col("n.f").alias("after"))
     )
-    rows = materialize(rows, "compared")
-    asks = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
-    table = rows.groupBy("f").agg(F.sum("copies").alias("documents"))
-    found = within_radius(rows.where(asks).select("f.*").distinct(), table.select("f.*"))
-    near = (
-        found.join(table.select("f.*", "documents"), ["hi", "lo"])
-        .groupBy("q_hi", "q_lo")
-        .agg((F.sum("documents") - 1).alias("n_near"))
-        .alias("k")
-    )
+    return materialize(compared, "compared")
+
+
+def _key(column: str, value: str, null: str) -> tuple[Column, Column]:
+    return F.coalesce(column, F.lit(0).cast("long")).alias(value), F.isnull(column).alias(null)
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """Pairs of an asking fingerprint and a class near it, with the class's number of ``documents``."""
+    table = rows.groupBy("f").agg(F.sum("copies").alias("documents")).select("f.*", "documents")
+    return neighbours(rows.where(ASKS).select("f.*").distinct(), table)
+
+
+def _documents(rows: DataFrame, found: DataFrame) -> DataFrame:
+    near = found.groupBy("q_hi", "q_lo").agg((F.sum("documents") - 1).alias("n_near")).alias("k")
     pair = lambda x: (F.col(f"{x}.hi"), F.col(f"{x}.lo"))
     out = rows.alias("r").join(near, F.expr("r.f.hi = k.q_hi AND r.f.lo = k.q_lo"), "left")
     return out.select(
@@ -227,6 +313,6 @@ def _compared(prints: DataFrame, succession: DataFrame, counted: DataFrame) -> D
         printed(*pair("e")).alias("edited_fingerprint"),
         likeness(pair("f"), pair("e")).alias("near_edited"),
         likeness(pair("f"), pair("after")).alias("near_next"),
-        F.when(asks, F.col("n_near")).alias("n_near"),
+        F.when(F.expr(ASKS), F.col("n_near")).alias("n_near"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
     ).drop("copy")

@@ -193,3 +193,48 @@ def test_block_tables_find_every_pair_within_the_radius(spark):
     assert len(found) == want == len(set(found))
     with pytest.raises(ValueError, match="radius"):
         simhash.within_radius(table, table, 4)
+
+
+def test_neighbours_are_those_of_brute_force(spark):
+    rng = random.Random(9)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [rng.getrandbits(128) for _ in range(30)]
+    near = [x ^ sum(1 << b for b in rng.sample(range(128), rng.randint(1, 28))) for x in base for _ in range(4)]
+    every = list({*base, *near, 0, (1 << 128) - 1})
+    table = spark.createDataFrame([(signed(x >> 64), signed(x & ((1 << 64) - 1)), i) for i, x in enumerate(every)], "hi bigint, lo bigint, i int")
+    for radius in (0, 3, simhash.NEAR_RADIUS):
+        found = [tuple(r) for r in simhash.neighbours(table, table, radius).select("q_hi", "q_lo", "i", "distance").collect()]
+        pairs = [(x, y) for x in range(len(every)) for y in range(len(every)) if (every[x] ^ every[y]).bit_count() <= radius]
+        want = {(signed(every[x] >> 64), signed(every[x] & ((1 << 64) - 1)), y, (every[x] ^ every[y]).bit_count()) for x, y in pairs}
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_texts_with_a_few_changed_words_are_linked(docs_of):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    rows = []
+    for k in range(20):
+        words = [word() for _ in range(200)]
+        rows.append((20 * (k + 1), " ".join(words)))
+        for j in (1, 2, 3):
+            changed = list(words)
+            for at in rng.sample(range(200), j):
+                changed[at] = word()
+            rows.append((20 * (k + 1) + j, " ".join(changed)))
+    got = simhash.fingerprints_and_links(docs_of([*rows, (None, rows[0][1])])).collect()
+    documents, links = [r for r in got if r.n_chars is not None], [r for r in got if r.n_chars is None]
+    value = {r.doc_id: int(r.fingerprint, 16) for r in documents if r.doc_id is not None}
+    members: dict[int, list] = {}
+    for r in documents:
+        members.setdefault(int(r.fingerprint, 16), []).append(r.doc_id)
+    want = set()
+    for k in range(20, 420, 20):
+        for f, ids in members.items():
+            d, n = (f ^ value[k]).bit_count(), len(ids) - (f == value[k])
+            if d <= simhash.NEAR_RADIUS and n:
+                want.add((k, f"{value[k]:032x}", f"{f:032x}", d, n))
+    assert {(r.doc_id, r.fingerprint, r.near_fingerprint, r.near_distance, r.near_documents) for r in links} == want and len(links) == len(want)
+    linked = {(r.doc_id, m) for r in links for m in members[int(r.near_fingerprint, 16)]}
+    assert sum((k, k + j) in linked for k in range(20, 420, 20) for j in (1, 2, 3)) >= 54
+    assert all(m is None or m // 20 == k // 20 for k, m in linked) and (20, None) in linked
+    assert all(r.n_near == sum(x.near_documents for x in links if x.doc_id == r.doc_id) for r in documents if r.doc_id and r.doc_id % 20 == 0)
