@@ -4,9 +4,9 @@ Documents are cut into pieces of at most ``capacity`` tokens. A piece goes to th
 open bin whose choice leaves the sum over gaps g > 0 of (open bins with gap g)^2
 smallest; ties go to the smallest gap. A bin is opened only where no open one has
 room, and a shard takes its pieces longest first, so bins end up nearly full.
-Shards are packed independently and each holds a bounded number of pieces;
-bins that stay clearly open are packed again in fewer shards, so that the waste
-doesn't grow with the number of shards.
+Shards are packed independently and none holds more than SHARD_PIECES pieces;
+bins that stay clearly open are packed again in other and, as far as that bound
+allows, fewer shards, until that no longer saves bins.
 """
 
 from __future__ import annotations
@@ -24,14 +24,18 @@ from tokenizers import Tokenizer
 
 from fleetlens.llm.bpe import WordBpe
 from fleetlens.llm.common import texts_of
+from fleetlens.plans.scan import TIE_BITS, row_ranks
 from fleetlens.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces packed in one task, bins with a larger share of room packed again, and shards then merged into one.
+#: Most pieces packed in one task, bins with a larger share of room packed again, and shards then merged into one
+#: where their open pieces fit.
 SHARD_PIECES = 40_000
 OPEN_SHARE = 0.02
 MERGE_SHARDS = 16
+#: Open bins stay as they are if packing them again saves a smaller share of them.
+LEAST_GAIN = 0.001
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = f"{PIECE}, sequence_id bigint, offset bigint, room bigint"
@@ -129,26 +133,35 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Pieces of equal length go by doc_id, piece and checksum, so the result doesn't
     depend on how rows were dealt.
     """
-    spark = pieces.sparkSession
     pieces = materialize(pieces, "pieces")
-    shards = max(1, -(-pieces.count() // SHARD_PIECES))
+    shards, level = _shards(pieces.count()), 0
+    packed = materialize(_pack_shards(pieces, shards, level, capacity), "packed")
     done: list[DataFrame] = []
-    level = 0
-    while True:
-        packed = materialize(_pack_shards(pieces, shards, level, capacity), "packed")
-        if shards == 1:
-            done.append(packed)
+    while shards > 1 and level < 127:  # seven bits of an id
+        is_open = F.col("room") > OPEN_SHARE * capacity
+        still = packed.where(is_open)
+        n, bins = still.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+        least = _shards(n)
+        shards, level = max(least, -(-shards // MERGE_SHARDS)), level + 1
+        again = materialize(_pack_shards(still, shards, level, capacity), "packed")
+        saved = bins - again.where("offset = 0").count()
+        if saved > LEAST_GAIN * bins:
+            done.append(packed.where(~is_open))
+            packed = again
+        elif shards == least:
             break
-        done.append(packed.where(F.col("room") <= OPEN_SHARE * capacity))
-        pieces = packed.where(F.col("room") > OPEN_SHARE * capacity)
-        shards, level = -(-shards // MERGE_SHARDS), level + 1
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.drop("room")
+    for d in done:
+        packed = packed.unionByName(d)
+    return packed.drop("room")
+
+
+def _shards(pieces: int) -> int:
+    return max(1, -(-pieces // SHARD_PIECES))
 
 
 def _pack_shards(pieces: DataFrame, shards: int, level: int, capacity: int) -> DataFrame:
+    """``pieces`` packed in ``shards`` that differ by at most one piece, whatever repeats among them."""
+
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(
             ["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable"
@@ -159,9 +172,16 @@ def _pack_shards(pieces: DataFrame, shards: int, level: int, capacity: int) -> D
             sequence_id=(level << 56) | (int(key[0]) << 32) | bins, offset=offsets, room=capacity - filled[bins]
         )[[c.split()[0] for c in PLACED.split(", ")]]
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)).cast("long")
     columns = [c.split()[0] for c in PIECE.split(", ")]
-    return pieces.select(*columns, shard.alias("shard")).groupBy("shard").applyInPandas(pack, PLACED)
+    if shards == 1:
+        dealt = pieces.select(*columns, F.lit(0).cast("long").alias("shard"))
+    else:
+        # dealt by rank in the order of a hash; equal pieces lie side by side there and can change places
+        salt = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << TIE_BITS) - 1))
+        keyed = pieces.select(*columns, F.xxhash64(*columns, F.lit(level)).alias("_pos"), salt.alias("_tie"))
+        ranked = row_ranks(keyed, "_pos", "_tie", out="_rank", rows_per_bucket=SHARD_PIECES)
+        dealt = ranked.select(*columns, F.pmod("_rank", F.lit(shards)).cast("long").alias("shard"))
+    return dealt.groupBy("shard").applyInPandas(pack, PLACED)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

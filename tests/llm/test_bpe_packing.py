@@ -133,3 +133,37 @@ def test_two_runs_give_the_same_packing(spark, docs_of):
         for d in (docs, docs.repartition(7))
     )
     assert once == again
+
+
+def test_no_shard_exceeds_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 50)
+    monkeypatch.setattr(packing, "MERGE_SHARDS", 4)
+    rng = random.Random(5)
+    # no two long pieces fit together, so every bin stays open; a third of all rows are equal, under a null id
+    rows = [(i, 0, 0, rng.randint(51, 90), i) for i in range(600)] + [(None, 0, 0, 60, 7)] * 300
+    pieces = spark.createDataFrame(rows, packing.PIECE).repartition(5)
+    placed = packing.pack_pieces(pieces, 100).collect()
+    assert sorted(map(str, (tuple(r)[:5] for r in placed))) == sorted(map(str, rows))
+    assert check_packing(placed, 100) == 900
+    shards: dict[int, int] = {}
+    for r in placed:
+        shards[r.sequence_id >> 32] = shards.get(r.sequence_id >> 32, 0) + 1
+    assert max(shards.values()) <= 50
+
+
+def test_no_level_packs_more_than_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 50)
+    monkeypatch.setattr(packing, "MERGE_SHARDS", 4)
+    pack, seen = packing._pack_shards, []
+
+    def watched(pieces, shards, level, capacity):
+        out = packing.materialize(pack(pieces, shards, level, capacity), "watched")
+        seen.append((level, max(r["count"] for r in out.groupBy(F.shiftright("sequence_id", 32)).count().collect())))
+        return out
+
+    monkeypatch.setattr(packing, "_pack_shards", watched)
+    rng = random.Random(6)
+    rows = [(i, 0, 0, rng.randint(20, 70), i) for i in range(700)] + [(None, 0, 0, 37, 7)] * 350
+    once, again = (sorted(map(str, packing.pack_pieces(spark.createDataFrame(x, packing.PIECE).repartition(k), 100).collect())) for k, x in ((3, rows), (7, rows[::-1])))
+    assert once == again
+    assert max(level for level, _ in seen) >= 1 and max(n for _, n in seen) <= 50
