@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens import schemas
 from fleetlens.functions.timeutil import iso
 from fleetlens.operators import metrics as ops
+from fleetlens.operators import models as model_ops
 from fleetlens.queries import views
 from fleetlens.queries.registry import query
 from fleetlens.queries.views import ISO, half_even, with_views
@@ -241,3 +243,51 @@ def no_skill_baseline(spark, sf_dir):
     return out
 
 
+# --- all feature columns ------------------------------------------------------------------
+# The twins above name half of the window statistics; these queries take every one and have no twin.
+
+
+def _all_features(spark, sf_dir):
+    return schemas.feature_columns(views.points(spark, sf_dir).columns)
+
+
+def _full_auc(test, features):
+    return ops.single_feature_auc(test, features).withColumn("auc", F.round("auc", 9))
+
+
+@query("full_feature_auc")
+def full_feature_auc(spark, sf_dir):
+    """Held-out AUC of every feature of the points on its own."""
+    return _full_auc(_test(spark, sf_dir), _all_features(spark, sf_dir))
+
+
+@query("full_feature_ranking")
+def full_feature_ranking(spark, sf_dir):
+    """All features by distance of their AUC from chance."""
+    from pyspark.sql import Window
+
+    # one row per feature
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.abs(F.col("auc") - 0.5), 9)), "feature"))
+    return ops.feature_ranking(full_feature_auc(spark, sf_dir)).withColumn("place", place.cast("bigint"))
+
+
+@query("full_merged_ranking")
+def full_merged_ranking(spark, sf_dir):
+    """Every feature's most separating AUC over one round per horizon."""
+    test, features = _test(spark, sf_dir), _all_features(spark, sf_dir)
+    rounds = None
+    for h in views.HORIZONS_S:
+        part = _full_auc(test.where(F.col("horizon_s") == h), features)
+        rounds = part if rounds is None else rounds.unionByName(part)
+    return ops.merge_rankings(rounds).select("feature", F.round(F.abs(F.col("auc") - 0.5), 9).alias("separation"))
+
+
+@query("full_leakage_probe")
+def full_leakage_probe(spark, sf_dir):
+    """Both leak guards: the strongest of all features alone, and a logistic model over all of them on permuted labels."""
+    features = tuple(_all_features(spark, sf_dir))
+    rows = ops.time_ordered_split(views.points(spark, sf_dir))
+    early, late = rows.where("is_train").drop("is_train"), rows.where("NOT is_train").drop("is_train")
+    permuted = model_ops.permuted_auc(early, late, model_ops.Candidate("logreg", features))
+    out = ops.leakage_probe(_full_auc(late, features), permuted)
+    return out.withColumn("max_single_feature_auc", F.round("max_single_feature_auc", 9))

@@ -102,3 +102,40 @@ def test_baseline_refuses_one_class(spark):
     assert got.roc_auc == 0.5 and got.avg_precision == got.base_rate
     with pytest.raises(Exception, match="not scorable"):
         ops.no_skill_baseline(ops.time_ordered_split(df.withColumn("label", F.lit(1)))).collect()
+
+
+def test_a_leak_through_any_feature_is_seen(spark, monkeypatch):
+    """Points whose label shows in a slope only, through the registered queries."""
+    from datetime import datetime, timedelta
+
+    import numpy as np
+
+    from fleetlens import schemas
+    from fleetlens.operators import models
+    from fleetlens.queries import evaluation, views
+
+    rng = np.random.default_rng(0)
+    names = [f"{m}_{s}" for m in views.FEATURE_METRICS for s in schemas.WINDOW_STATS]
+    label = rng.integers(0, 2, 300)
+    values = rng.normal(size=(300, len(names))).round(2)
+    values[:, names.index("GPU_UTIL_slope")] = label + 0.1 * values[:, 0]
+    start = datetime(2023, 8, 15)
+    rows = [(f"n#{i % 3}", "n", i % 3, start + timedelta(hours=i), "e", views.HORIZONS_S[i % 3], 60.0, int(y), *map(float, v)) for i, (y, v) in enumerate(zip(label, values, strict=True))]
+    points = spark.createDataFrame(rows, ", ".join(["gpu string, node string, gpu_idx int, t_ref timestamp, event_source string, horizon_s double, lookback_s double, label int", *[f"{n} double" for n in names]])).cache()
+    monkeypatch.setattr(views, "points", lambda *_: points)
+    fits = []
+    monkeypatch.setattr(models, "permuted_auc", lambda early, late, candidate, **kw: fits.append((early.count(), candidate.features)) or 0.75)
+
+    got = {r.feature: r.auc for r in evaluation.full_feature_auc(spark, "").collect()}
+    late = np.arange(300) >= 210
+    for k, name in enumerate(names):
+        pos, neg = values[late & (label == 1), k], values[late & (label == 0), k]
+        want = ((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)).mean()
+        assert abs(got[name] - want) < 1e-8, name
+    assert len(got) == len(names) == 40
+    ranked = evaluation.full_feature_ranking(spark, "").orderBy("place").collect()
+    assert len(ranked) == 40 and ranked[0].feature == "GPU_UTIL_slope"
+    assert {r.feature for r in evaluation.full_merged_ranking(spark, "").collect()} == set(names)
+    probe = evaluation.full_leakage_probe(spark, "").first()
+    assert probe.leaks and probe.max_single_feature_auc == 1.0 and probe.shuffled_label_auc == 0.75
+    assert fits == [(210, tuple(names))]
