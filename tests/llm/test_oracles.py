@@ -96,3 +96,20 @@ def _without_windows(texts):
         gone = {i + j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(35)}
         out[k] = [x for i, x in enumerate(w) if i not in gone]
     return out
+
+
+LARGER = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="test tables absent")
+def test_quality_rules_where_groups_have_fences_of_their_own(spark):
+    """On both sides of the group size that the SQL switches at."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{LARGER}/documents.parquet'")
+    sizes = [n for (n,) in con.execute("SELECT count(*) FROM documents GROUP BY lang, source").fetchall()]
+    assert min(sizes) < 200 <= max(sizes)
+    df = QUERIES["op4_quality_rules"](spark, LARGER)
+    cur = con.execute(ORACLES["op4_quality_rules"])
+    cols = [d[0] for d in cur.description]
+    want = sorted(str(tuple(r)) for r in cur.fetchall())
+    assert sorted(str(tuple(r)) for r in df.select(*cols).collect()) == want
