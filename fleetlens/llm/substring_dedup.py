@@ -13,8 +13,9 @@ is the matching statistic of that word, followed up to the threshold; where it
 reaches WINDOW, the window is repeated.
 
 An anchor with very many different segments (a passage in many contexts) would
-make one large shard. Its segments are cut into single windows first, which are
-routed by their own hash, so equal ones still meet and any other may be apart.
+make one large shard. Its segments are cut into single windows, which are counted
+by a 64-bit hash with a grouped aggregation: no index is built or searched for them.
+Equal segments are settled by their 64-bit digest, without an index too.
 """
 
 from __future__ import annotations
@@ -294,7 +295,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 
 def _crowded(pieces: DataFrame) -> DataFrame:
-    """Runs of crowded anchors' segments: their windows, counted by a hash, meet in shards of single windows."""
+    """Runs of crowded anchors' segments: their windows are counted by a 64-bit hash, without an index."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
