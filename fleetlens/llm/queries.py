@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, chat, jaccard_join, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_rollups, warc
+from fleetlens.llm import bpe, chat, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_rollups, warc
 from fleetlens.llm.common import table
 from fleetlens.session import apply_runtime_conf, scratch_path
 
@@ -250,3 +250,9 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the passages of 35 words that occur more than once."""
     return substring_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_lm_scoring")
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a context tree and a unigram base, both learnt outside the held-out seventh."""
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), "crc32(CAST(doc_id AS STRING)) % 7 = 2")
