@@ -7,7 +7,7 @@ a line end at last. Counts and scores travel by block, some 32 MB of text:
    and next byte) and word, and writes the block's words compressed. Each block
    names all keys that it will ask for, those met only in held-out texts too.
 2. Keys go to shards by their three nearest context bytes. Shards add the counts
-   of at most FAN blocks at a time until one row per shard is left, so no task
+   of about FAN blocks at a time until one row per shard is left, so no task
    gathers what all blocks sent.
 3. Shards settle their subtrees; the levels above are grouped sums. Depth 1 has
    at most 256 contexts of 255 nodes and so is the only one that is collected
@@ -80,12 +80,12 @@ def words_of(line: bytes) -> list[bytes]:
     return [*line.split(b" "), END] if line else [END]
 
 
-def text_keys(lines: Iterable[bytes], depth: int) -> Iterator[tuple[int, np.ndarray]]:
+def text_keys(lines: Iterable[bytes], depth: int, chunk_bytes: int) -> Iterator[tuple[int, np.ndarray]]:
     """(text number, keys) of normal texts, in slices of bounded size; a text starts without context."""
     for k, line in enumerate(lines):
         stream = np.frombuffer(bytes(depth) + line + (b" " if line else b"") + END, np.uint8)
-        for at in range(0, len(stream) - depth, CHUNK_BYTES):
-            yield k, context_keys(stream[at : at + CHUNK_BYTES + depth], depth)
+        for at in range(0, len(stream) - depth, chunk_bytes):
+            yield k, context_keys(stream[at : at + chunk_bytes + depth], depth)
 
 
 def shard_of(kind: int, keys: np.ndarray, depth: int, shards: int) -> np.ndarray:
@@ -97,7 +97,8 @@ def shard_of(kind: int, keys: np.ndarray, depth: int, shards: int) -> np.ndarray
 class Counter:
     """Distinct keys of a block with their count in training texts (0: only in others)."""
 
-    def __init__(self) -> None:
+    def __init__(self, chunk: int) -> None:
+        self.chunk = chunk
         self.waiting: list[np.ndarray] = []
         self.counted: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
@@ -106,7 +107,7 @@ class Counter:
         # the low bit says whether the key counts
         self.waiting.append(keys << _ONE | np.uint64(train))
         self.size += len(keys)
-        if self.size >= CHUNK_BYTES:
+        if self.size >= self.chunk:
             self.settle()
 
     def settle(self) -> None:
@@ -114,7 +115,7 @@ class Counter:
             marked, n = np.unique(np.concatenate(self.waiting), return_counts=True)
             self.counted.append((marked >> _ONE, np.where(marked & _ONE == 1, n, 0)))
             self.waiting, self.size = [], 0
-            if sum(len(k) for k, _ in self.counted[1:]) > len(self.counted[0][0]) + CHUNK_BYTES:
+            if sum(len(k) for k, _ in self.counted[1:]) > len(self.counted[0][0]) + self.chunk:
                 self.counted = [merged(self.counted)]
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
@@ -134,14 +135,14 @@ def word_keys(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     return hashes.of(words) >> _ONE
 
 
-def count_blocks(docs: DataFrame, depth: int, shards: int) -> DataFrame:
+def count_blocks(docs: DataFrame, depth: int, shards: int, block_bytes: int, chunk_bytes: int) -> DataFrame:
     """Rows of BLOCKS: per block and shard its keys and counts, and chunks of its texts; ``docs`` has doc_id, text, held_out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         hashes, task, number = WordHashes(), TaskContext.get().partitionId(), 0
-        counters, held, held_bytes, block_bytes = (Counter(), Counter()), [], 0, 0
+        counters, held, held_bytes, in_block = (Counter(chunk_bytes), Counter(chunk_bytes)), [], 0, 0
         kinds = dict(zip("block kind shard keys counts texts ids flags".split(), [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5], strict=True))
 
         def row(**given) -> pa.RecordBatch:
@@ -172,20 +173,20 @@ def count_blocks(docs: DataFrame, depth: int, shards: int) -> DataFrame:
         for b in batches:
             for doc_id, text, held_out in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 line = normal(text)
-                for _, keys in text_keys([line], depth):
+                for _, keys in text_keys([line], depth, chunk_bytes):
                     counters[CONTEXTS].add(keys, not held_out)
                 counters[WORDS].add(word_keys(words_of(line), hashes), not held_out)
                 held.append((doc_id, line, held_out))
                 held_bytes += len(line) + 1
-                if held_bytes >= CHUNK_BYTES:
+                if held_bytes >= chunk_bytes:
                     yield texts()
-                    block_bytes, held, held_bytes = block_bytes + held_bytes, [], 0
-                    if block_bytes >= BLOCK_BYTES:
+                    in_block, held, held_bytes = in_block + held_bytes, [], 0
+                    if in_block >= block_bytes:
                         yield from block()
-                        counters, block_bytes, number = (Counter(), Counter()), 0, number + 1
+                        counters, in_block, number = (Counter(chunk_bytes), Counter(chunk_bytes)), 0, number + 1
         if held:
             yield texts()
-        if held or block_bytes:
+        if held or in_block:
             yield from block()
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, BLOCKS)
@@ -339,7 +340,7 @@ class Lookup:
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, n_bytes bigint, base double, score double"
 
 
-def score_texts(blocks: DataFrame, told: DataFrame, depth: int) -> DataFrame:
+def score_texts(blocks: DataFrame, told: DataFrame, depth: int, chunk_bytes: int) -> DataFrame:
     """Rows of SCORES; ``base`` is the sum of log10 (c + 1) only."""
     names = [c.split()[0] for c in SCORES.split(", ")]
 
@@ -359,7 +360,7 @@ def score_texts(blocks: DataFrame, told: DataFrame, depth: int) -> DataFrame:
             (contexts, logs), (words, counts) = tables
             lines = zstandard.ZstdDecompressor().decompress(texts).split(b"\n")
             total = np.zeros(len(lines))
-            for k, keys in text_keys(lines, depth):
+            for k, keys in text_keys(lines, depth, chunk_bytes):
                 total[k] += logs[contexts.places(keys)].sum(dtype=np.float64)
             split = [words_of(line) for line in lines]
             sizes = np.array([len(w) for w in split])
@@ -398,7 +399,13 @@ def score_texts(blocks: DataFrame, told: DataFrame, depth: int) -> DataFrame:
 
 
 def score_documents(
-    docs: DataFrame, held_out: str | None = None, depth: int = DEPTH, shards: int = SHARDS, fan: int = FAN
+    docs: DataFrame,
+    held_out: str | None = None,
+    depth: int = DEPTH,
+    shards: int = SHARDS,
+    fan: int = FAN,
+    block_bytes: int = BLOCK_BYTES,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): scores by a model of the rows that are not held out.
 
@@ -413,13 +420,14 @@ def score_documents(
     if not TOP < depth < 7:  # a key and the bit that marks training fill 64 bits
         raise ValueError(f"depth must lie between {TOP + 1} and 6")
     held = F.coalesce(F.expr(held_out), F.lit(False)) if held_out else F.lit(False)
-    blocks = materialize(count_blocks(docs.select("doc_id", "text", held.alias("held_out")), depth, shards), "blocks")
+    rows = docs.select("doc_id", "text", held.alias("held_out"))
+    blocks = materialize(count_blocks(rows, depth, shards, block_bytes, chunk_bytes), "blocks")
     n_blocks = blocks.where("texts IS NOT NULL").select("block").distinct().count()
     asked = blocks.where("keys IS NOT NULL")
     counts = merge_counts(asked, n_blocks, fan)
     told = answers(asked, materialize(fitted(counts, depth), "model"), n_blocks, fan)
     tokens, vocabulary = _word_totals(counts)
-    scored = score_texts(blocks, told, depth)
+    scored = score_texts(blocks, told, depth, chunk_bytes)
     below = F.log10(F.lit(float(tokens + vocabulary + 1)))
     return scored.select(
         "doc_id",

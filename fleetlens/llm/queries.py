@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, chat, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_rollups, warc
+from fleetlens.llm import bpe, chat, conversation_repair, jaccard_join, lm_scoring, merkle, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_rollups, warc
 from fleetlens.llm.common import table
 from fleetlens.session import apply_runtime_conf, scratch_path
 
@@ -256,3 +256,60 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a context tree and a unigram base, both learnt outside the held-out seventh."""
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"), "crc32(CAST(doc_id AS STRING)) % 7 = 2")
+
+
+@query(
+    "op12_merkle_manifest",
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, text, concat(
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head FROM documents),
+leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS changed
+  FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM leaves),
+up AS (SELECT tree, 0 AS level, rank AS i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8
+  FROM up WHERE n > 1 GROUP BY tree, level, i // 8),
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS rank FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, rank AS i, h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY level, i // 8),
+steps AS (SELECT a.tree, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM up a JOIN up b ON a.tree = b.tree AND a.level = b.level AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY ALL),
+tops AS (SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM top a JOIN top b ON a.level = b.level AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY ALL),
+crc_steps AS (SELECT x::UINTEGER AS x, k FROM (SELECT unnest(range(256)) AS x), (SELECT 0 AS k)),
+crc_table AS (SELECT x AS byte, list_reduce(list_prepend(x::UBIGINT, list_transform(range(8), lambda z: 0::UBIGINT)),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM crc_steps),
+tbl AS (SELECT list(v ORDER BY byte) AS t FROM crc_table),
+crcs AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295::UBIGINT) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), tbl),
+walk AS (SELECT p.doc_id, p.tree, p.rank, p.leaf, 0 AS level, p.rank AS i, '' AS proof,
+    CASE WHEN crc % 3 = 0 THEN changed ELSE leaf END AS h FROM placed p LEFT JOIN crcs c ON p.doc_id = c.doc_id
+  UNION ALL
+  SELECT w.doc_id, w.tree, w.rank, w.leaf, w.level + 1, w.i // 8, proof || l || r, sha256(l || h || r)
+  FROM walk w JOIN steps s ON w.tree = s.tree AND w.level = s.level AND w.i = s.i),
+rooted AS (SELECT w.*, s.h AS subroot, s.rank AS place FROM walk w JOIN subroots s USING (tree)
+  QUALIFY w.level = max(w.level) OVER (PARTITION BY w.tree)),
+climb AS (SELECT doc_id, tree, rank, leaf, subroot, 0 AS level, place AS i, proof, h FROM rooted
+  UNION ALL
+  SELECT c.doc_id, c.tree, c.rank, c.leaf, c.subroot, c.level + 1, c.i // 8, proof || l || r, sha256(l || h || r)
+  FROM climb c JOIN tops t ON c.level = t.level AND c.i = t.i)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM climb, (SELECT h AS root, level AS height FROM top WHERE n = 1) WHERE level = height
+""",
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and verification after tampering, from the stored manifest."""
+    return merkle.manifest(table(spark, sf_dir, "documents")).verified()
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, then repaired by its cheapest edits."""
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))

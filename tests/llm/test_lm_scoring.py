@@ -69,7 +69,7 @@ def plain_score(tree, text, depth):
 
 
 @pytest.mark.parametrize(("depth", "shards", "fan"), [(3, 4, 2), (6, 16, 3), (5, 1, 1024)])
-def test_scores_equal_a_plain_recursion(docs_of, depth, shards, fan, monkeypatch):
+def test_scores_equal_a_plain_recursion(docs_of, depth, shards, fan):
     texts = TRAIN + OTHER
     docs = docs_of([*texts, (None, "the cat")], lang="x").repartition(4)
     got = lm_scoring.score_documents(docs, f"doc_id >= {len(TRAIN)}", depth=depth, shards=shards, fan=fan).collect()
@@ -111,17 +111,13 @@ def test_nothing_to_learn_from_or_to_score(docs_of):
     assert len({r.score for r in everything}) == 1 and not everything[0].held_out
 
 
-def test_repeated_rows_and_long_texts(docs_of, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 1000)
-    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 3000)
+def test_repeated_rows_and_long_texts(docs_of):
     text = "one two three four " * 500
     rows = [(1, text), (1, text), (2, "one two"), (3, "five")]
-    small = lm_scoring.score_documents(docs_of(rows), "doc_id = 3").collect()
+    small = lm_scoring.score_documents(docs_of(rows), "doc_id = 3", fan=2, block_bytes=3000, chunk_bytes=1000).collect()
     assert [r.doc_id for r in small].count(1) == 2
-    whole = {r.doc_id: r.score for r in small}
-    monkeypatch.undo()
     large = {r.doc_id: r.score for r in lm_scoring.score_documents(docs_of(rows), "doc_id = 3").collect()}
-    assert whole == {k: pytest.approx(v, rel=1e-6) for k, v in large.items()}
+    assert {r.doc_id: r.score for r in small} == {k: pytest.approx(v, rel=1e-6) for k, v in large.items()}
 
 
 def test_held_out_texts_cost_fewer_bits_than_unrelated_ones(spark):
