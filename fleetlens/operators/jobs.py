@@ -65,13 +65,8 @@ def job_features(jobs: DataFrame, telemetry: DataFrame, metrics: dict[str, str])
     """
     spans = jobs.select(micros("start_ts").alias("_lo"), micros("end_ts").alias("_hi"))
     samples = telemetry.where(F.col("metric").isin(list(metrics.values()))).select("metric", micros("ts").alias("_at"), "value")
-    # one row per metric; sums are taken around a metric's overall mean
-    centre = samples.groupBy("metric").agg(F.avg("value").alias("_centre"))
-    moments = interval_moments(spans, samples.join(centre, "metric"), lo="_lo", hi="_hi", at="_at", by=["metric"], shift="_centre")
-    found = moments.join(centre, "metric")
-    offset = F.col("total") / F.col("n")
-    mean = F.col("_centre") + offset
-    std = F.sqrt(F.greatest(F.lit(0.0), F.col("total_sq") / F.col("n") - offset * offset))
+    found = interval_moments(spans, samples, lo="_lo", hi="_hi", at="_at", by=["metric"])
+    mean, std = F.col("mean"), F.sqrt(F.col("m2") / F.col("n"))
     filled = F.col("n") > 0
     wide = found.groupBy("lo", "hi").agg(
         *[

@@ -67,7 +67,7 @@ def _single_value(n: str, s1: str, s2: str):
     return F.when((F.col(n) > 0) & (count * squares == total * total), F.floor(total / count).cast("bigint"))
 
 
-def correlated_failures(incident_rows: DataFrame, window_s: float = 120, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def correlated_failures(incident_rows: DataFrame, window_s: float = 120, *, rows_per_bucket: int | None = ROWS_PER_BUCKET) -> DataFrame:
     """Per distinct failure time: number of other failures near it and their shared type.
 
     Needs ``fail_ts`` and ``type``; jobs with a relative time only have no place among these
@@ -115,7 +115,7 @@ def onset_cohort_summary(onset_rows: DataFrame, center: str, window_s: float = 1
     )
 
 
-def onset_cohorts(failures: DataFrame, onset_rows: DataFrame, window_s: float, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def onset_cohorts(failures: DataFrame, onset_rows: DataFrame, window_s: float, *, rows_per_bucket: int | None = ROWS_PER_BUCKET) -> DataFrame:
     """Per distinct ``fail_ts``: onsets within the window and the single code seen, if one."""
     span = int(window_s * MICROS)
     points = onset_rows.select(
@@ -133,7 +133,7 @@ def onset_cohorts(failures: DataFrame, onset_rows: DataFrame, window_s: float, *
     )
 
 
-def nearest_onsets(failures: DataFrame, onset_rows: DataFrame, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def nearest_onsets(failures: DataFrame, onset_rows: DataFrame, *, rows_per_bucket: int | None = ROWS_PER_BUCKET) -> DataFrame:
     """Per distinct ``fail_ts`` the nearest onset time; the earlier one wins a tie."""
     probe = failures.select(micros("fail_ts").alias("pos")).distinct()
     event = onset_rows.select(micros("ts").alias("pos")).distinct()
@@ -151,7 +151,7 @@ def nearest_onsets(failures: DataFrame, onset_rows: DataFrame, *, rows_per_bucke
 
 
 def coincidence(
-    jobs: DataFrame, onset_rows: DataFrame, window_minutes: float, span: DataFrame | None = None, *, rows_per_bucket: int = ROWS_PER_BUCKET
+    jobs: DataFrame, onset_rows: DataFrame, window_minutes: float, span: DataFrame | None = None, *, rows_per_bucket: int | None = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Each failed job with its onset count within ``±window_minutes`` and nearest onset.
 

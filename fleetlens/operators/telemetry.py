@@ -125,7 +125,7 @@ def window_stats(telemetry: DataFrame, centers: DataFrame, *, metrics: Sequence[
         F.timestamp_micros("_hi").alias("hi"),
         "metric",
         F.when(filled, F.col("instants")).otherwise(0).cast("bigint").alias("samples"),
-        F.when(filled, F.col("total") / F.col("n")).otherwise(0.0).alias("mean"),
+        F.when(filled, F.col("mean")).otherwise(0.0).alias("mean"),
         F.when(filled, F.col("high")).otherwise(0.0).alias("max"),
         F.when(filled, F.col("low")).otherwise(0.0).alias("min"),
     )

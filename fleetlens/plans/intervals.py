@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.plans.scan import ROWS_PER_BUCKET, ordered_scan
-from fleetlens.session import materialize
-
 MICROS = 1_000_000
 
 
@@ -104,120 +101,109 @@ def exists_within(
     return joined.select(*points.columns, F.coalesce(hit, F.lit(False)).alias(out))
 
 
-MOMENTS = ("n", "total", "total_sq", "low", "high", "instants")
-
-
-def cell_moments(value: str = "value", shift: str | None = None) -> list[Column]:
-    v = F.col(value)
-    d = v - F.col(shift) if shift else v
-    return [
-        F.count(v).alias("n"),
-        F.sum(d).alias("total"),
-        F.sum(d * d).alias("total_sq"),
-        F.min(v).alias("low"),
-        F.max(v).alias("high"),
-    ]
+#: Lengths of the time tiles: a second, a minute, an hour, a day; each is a multiple of the one before.
+TILES_US = (MICROS, 60 * MICROS, 3600 * MICROS, 86_400 * MICROS)
+PART = "struct<n:bigint,mean:double,m2:double,low:double,high:double,instants:bigint>"
 
 
-def _merge_moments() -> list[Column]:
+def moments(value: Column) -> list[Column]:
+    """Count, mean and square sum around it, low and high; Spark merges these without cancelling."""
+    n = F.count(value)
     return [
-        F.sum("n").alias("n"),
-        F.sum("total").alias("total"),
-        F.sum("total_sq").alias("total_sq"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.sum("instants").alias("instants"),
+        n.alias("n"),
+        F.avg(value).alias("mean"),
+        (F.coalesce(F.var_pop(value), F.lit(0.0)) * n).alias("m2"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
     ]
 
 
-FANOUT = 8
-
+def merged(parts: Column) -> Column:
+    """The moments of disjoint parts (an array of PART) together, each step around the means themselves."""
 
-def _blocks(first: Column, end: Column, levels: int) -> Column:
-    """Blocks ``(level, block)`` of 1, 8, 64… ranks that tile ``[first, end)`` exactly."""
-
-    def up(x: Column, level: int) -> Column:
-        return F.ceil(x / F.lit(FANOUT**level)).cast("bigint")
-
-    def down(x: Column, level: int) -> Column:
-        return F.floor(x / F.lit(FANOUT**level)).cast("bigint")
-
-    def span(level: int, lo: Column, hi: Column) -> Column:
-        numbers = F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(numbers, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
+    def step(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        d = b["mean"] - a["mean"]
+        both = F.struct(
+            n.alias("n"),
+            (a["mean"] + d * b["n"] / n).alias("mean"),
+            (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"),
+            F.least(a["low"], b["low"]).alias("low"),
+            F.greatest(a["high"], b["high"]).alias("high"),
+            (a["instants"] + b["instants"]).alias("instants"),
+        )
+        # a part without readings adds its instants only
+        return F.when((a["n"] > 0) & (b["n"] > 0), both).when(b["n"] > 0, b.withField("instants", both["instants"])).otherwise(
+            a.withField("instants", both["instants"])
+        )
 
-    parts = []
-    for level in range(levels):
-        lo, hi = up(first, level), down(end, level)
-        # a coarser level takes the middle when it has a whole block there
-        lo2, hi2 = up(first, level + 1) * FANOUT, down(end, level + 1) * FANOUT
-        coarser = (lo2 < hi2) if level + 1 < levels else F.lit(False)
-        parts.append(span(level, lo, F.when(coarser, lo2).otherwise(hi)))
-        parts.append(span(level, F.when(coarser, hi2).otherwise(hi), hi))
+    nothing = F.lit(None).cast("double")
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(
+        zero.alias("n"), nothing.alias("mean"), F.lit(0.0).alias("m2"), nothing.alias("low"), nothing.alias("high"), zero.alias("instants")
+    )
+    return F.aggregate(parts, start.cast(PART), lambda a, b: step(a, b).cast(PART))
+
+
+def _tiles(first: Column, end: Column) -> Column:
+    """Tiles ``(level, tile)`` that make up the seconds ``[first, end)``: coarse ones in the middle, finer ones at both ends."""
+
+    def numbers(level: int, lo: Column, hi: Column) -> Column:
+        found = F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(found, lambda t: F.struct(F.lit(level).alias("level"), t.alias("tile")))
+
+    parts, lo, hi = [], first, end
+    for level in range(len(TILES_US)):
+        if level + 1 == len(TILES_US):
+            parts.append(numbers(level, lo, hi))
+            break
+        factor = TILES_US[level + 1] // TILES_US[level]
+        up, down = F.ceil(lo / factor).cast("bigint"), F.floor(hi / factor).cast("bigint")
+        coarser = up < down
+        parts += [numbers(level, lo, F.when(coarser, up * factor).otherwise(hi)), numbers(level, F.when(coarser, down * factor).otherwise(hi), hi)]
+        # without a whole coarser tile nothing is left for the levels above
+        lo, hi = F.when(coarser, up).otherwise(F.lit(0)), F.when(coarser, down).otherwise(F.lit(0))
     return F.concat(*parts)
 
 
 def interval_moments(
-    intervals: DataFrame,
-    samples: DataFrame,
-    *,
-    lo: str,
-    hi: str,
-    at: str,
-    by: Sequence[str] = (),
-    value: str = "value",
-    shift: str | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    intervals: DataFrame, samples: DataFrame, *, lo: str, hi: str, at: str, by: Sequence[str] = (), value: str = "value"
 ) -> DataFrame:
-    """Count, sum, square sum, min, max and instants of all samples inside each ``[lo, hi]``.
+    """Count, mean, square sum around it, min, max and instants of all samples inside each closed ``[lo, hi]`` (microseconds).
 
     The interval has no equality key, and a busy stretch may hold any share of the samples,
-    so nothing is joined by time. Instants are ranked over the whole table, every interval
-    becomes a rank range, and the range is tiled with blocks of 1, 8, 64… ranks whose
-    sums exist already: at most fourteen equality lookups per level, whatever lies inside.
-    ``shift`` names a column that is taken off the values before they are summed, so that
-    squares of large values don't cancel; low and high stay as they are.
-    Returns one row per distinct interval and ``by`` group that holds an instant.
+    so nothing is joined by time. Samples are added up once on fixed tiles of a second, a
+    minute, an hour and a day, partly before any shuffle. An interval is a few equality
+    lookups per level (under 300, and one per whole day), and only the readings of the
+    seconds its two ends lie in are looked at one by one. Returns one row per distinct
+    interval and ``by`` group that holds an instant; a null value has an instant but no reading.
     """
     by = list(by)
-    per_instant = materialize(
-        samples.groupBy(*by, F.col(at).alias("_at"))
-        .agg(*cell_moments(value, shift))
-        .withColumn("instants", F.lit(1).cast("bigint")),
-        "instants",
-    )
+    second = TILES_US[0]
+    rows = samples.select(*by, F.col(at).alias("_at"), F.col(value).cast("double").alias("_v"))
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), bucket_of(F.col("_at"), w).alias("tile")) for k, w in enumerate(TILES_US)]))
+    tile = [F.col("_t.level").alias("_level"), F.col("_t.tile").alias("_tile")]
+    sums = rows.withColumn("_t", levels).groupBy(*by, *tile).agg(*moments(F.col("_v")))
+    instants = rows.select(*by, "_at").distinct().withColumn("_t", levels).groupBy(*by, *tile).agg(F.count("*").alias("instants"))
+    keys = [*by, "_level", "_tile"]
+    tiles = sums.alias("s").join(instants.alias("i"), _same("s", "i", keys)).select(*[F.col(f"s.{k}") for k in keys], "n", "mean", "m2", "low", "high", "instants")
+
     spans = intervals.select(F.col(lo).alias("lo"), F.col(hi).alias("hi")).distinct().where("lo <= hi")
-    none = F.lit(None).cast("bigint")
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    ticks = per_instant.select("_at").distinct().select("_at", F.lit(1).alias("_kind"), one.alias("_one"), none.alias("lo"), none.alias("hi"))
-    ends = spans.select(
-        "lo",
-        "hi",
-        F.explode(F.array(F.struct(F.col("lo").alias("p"), F.lit(0).alias("k")), F.struct(F.col("hi").alias("p"), F.lit(2).alias("k")))).alias("e"),
-    ).select(F.col("e.p").alias("_at"), F.col("e.k").alias("_kind"), zero.alias("_one"), "lo", "hi")
-    ranked = materialize(
-        ordered_scan(ticks.unionByName(ends), "_at", {"_upto": ("sum", "_one")}, then=["_kind"], rows_per_bucket=rows_per_bucket), "ranks"
-    )
-    ranges = (
-        ranked.where("_kind <> 1")
-        .groupBy("lo", "hi")
-        .agg(F.min(F.when(F.col("_kind") == 0, F.col("_upto"))).alias("_first"), F.max(F.when(F.col("_kind") == 2, F.col("_upto"))).alias("_end"))
-    )
-    # blocks longer than the longest range are never used
-    longest = ranges.agg(F.max(F.col("_end") - F.col("_first"))).first()[0] or 0
-    levels = 1
-    while FANOUT**levels <= longest:
-        levels += 1
-
-    places = ranked.where("_kind = 1").select("_at", (F.col("_upto") - 1).alias("_rank"))
-    level = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("_rank") / F.lit(FANOUT**k)).cast("bigint").alias("block")) for k in range(levels)]))
-    tiles = (
-        per_instant.join(places, "_at")
-        .withColumn("_b", level)
-        .groupBy(*by, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
-        .agg(*_merge_moments())
-    )
-    wanted = ranges.select("lo", "hi", F.explode(_blocks(F.col("_first"), F.col("_end"), levels)).alias("_b")).select(
-        "lo", "hi", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")
-    )
-    return wanted.join(tiles, ["_level", "_block"]).groupBy("lo", "hi", *by).agg(*_merge_moments())
+    start, end = bucket_of(F.col("lo"), second), bucket_of(F.col("hi"), second)
+    inner = start + F.when(F.pmod("lo", F.lit(second)) == 0, 0).otherwise(1)  # the first whole second
+    wanted = spans.select("lo", "hi", F.explode(_tiles(inner, end)).alias("_t")).select("lo", "hi", *tile)
+    whole = wanted.join(tiles, ["_level", "_tile"]).select("lo", "hi", *by, "n", "mean", "m2", "low", "high", "instants")
+
+    cut = F.array_distinct(F.array(F.when(inner > start, start).otherwise(end), end))
+    edges = spans.select("lo", "hi", F.explode(cut).alias("_s"))
+    near = edges.join(rows.withColumn("_s", bucket_of(F.col("_at"), second)), "_s").where(F.col("_at").between(F.col("lo"), F.col("hi")))
+    at_ends = near.groupBy("lo", "hi", *by).agg(*moments(F.col("_v")), F.count_distinct("_at").alias("instants"))
+    parts = whole.unionByName(at_ends).groupBy("lo", "hi", *by).agg(F.collect_list(F.struct("n", "mean", "m2", "low", "high", "instants")).alias("_p"))
+    return parts.select("lo", "hi", *by, merged(F.col("_p").cast(f"array<{PART}>")).alias("_m")).select("lo", "hi", *by, "_m.*")
+
+
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    found = F.lit(True)
+    for k in keys:
+        found &= F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return found

@@ -1,9 +1,9 @@
 """Running totals over a global order, without putting the order into one task.
 
-A window without a partition key runs on one task. Here the order is cut into
-equally filled buckets (cut points from a quantile sketch over the data itself),
-each bucket runs its own window, and the totals of the earlier buckets are added
-from a table with one row per bucket.
+A parallel prefix scan: rows are dealt by ranges of the order and sorted where
+they lie, every range runs its own window, and what the earlier ranges add up to
+is put on top, from a table with one row per range and key. The dealt rows are
+written once, so ranges are the same for both. There is one path at every size.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.session import materialize
 
-ROWS_PER_BUCKET = 500_000
-MAX_BUCKETS = 4096
+#: Rows of a range; None leaves the number of ranges to Spark.
+ROWS_PER_BUCKET: int | None = None
 TIE_BITS = 48  # tie keys are uniform integers in [0, 2**48)
 
 _MERGE = {
@@ -34,18 +34,6 @@ def tie_key(*cols: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
 
 
-def _rank_in(cuts: Column, value: Column, strict: bool, n_cuts: int) -> Column:
-    """Number of sorted ``cuts`` below ``value`` (or not above it), by bisection."""
-    steps = [1 << b for b in range(max(n_cuts, 1).bit_length() - 1, -1, -1)]
-
-    def step(acc: Column, s: Column) -> Column:
-        probe = F.get(cuts, acc + s - 1)
-        hit = (probe < value) if strict else (probe <= value)
-        return F.when(((acc + s) <= F.size(cuts)) & hit, acc + s).otherwise(acc)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
-
-
 def ordered_scan(
     df: DataFrame,
     pos: str,
@@ -54,68 +42,42 @@ def ordered_scan(
     keys: Sequence[str] = (),
     then: Sequence[str] = (),
     tie: str | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add inclusive running aggregates over the order ``(pos, then…, tie)`` inside ``keys``.
 
-    ``running`` maps output name to ``(sum|max|min, column)``. ``keys`` must be a short
-    list of groups (horizons, features). Rows sharing one ``pos`` stay together unless
-    ``tie`` names a uniform key (:func:`tie_key`); aggregate by ``pos`` first when many
-    rows share it. The input is read more than once, so pass a narrow frame.
+    ``running`` maps output name to ``(sum|max|min, column)``; nulls are passed over.
+    Rows equal in all of the order follow one another in any way. A value that holds
+    many rows is cut by ``tie``, and equal rows by a salt, so a range never has to
+    hold a whole value. Any number of keys will do, null among them.
     """
     keys = list(keys)
-    order = [F.col(pos), *[F.col(c) for c in then], *([F.col(tie)] if tie else [])]
-
-    sizes = {tuple(r[: len(keys)]): r["n"] for r in df.groupBy(*keys).agg(F.count("*").alias("n")).collect()}
-    largest = max(sizes.values(), default=0)
-    if largest <= rows_per_bucket:
-        keyed = keys or [F.lit(0)]
-        frame = Window.partitionBy(*keyed).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[_AGG[fn](F.col(c)).over(frame).alias(out) for out, (fn, c) in running.items()])
-
-    df = materialize(df, "scan")
-    n_buckets = min(MAX_BUCKETS, math.ceil(largest / rows_per_bucket))
-    if len(sizes) * n_buckets > 100_000:
-        raise ValueError("ordered_scan needs a short list of keys; use a time-chunked window instead")
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(pos, F.array(*[F.lit(p) for p in probs]), max(10_000, 20 * n_buckets)).alias("_cuts")
-    )
-    # one row per key, at most 100,000 cut points in all (checked above)
-    if keys:
-        placed = df.join(F.broadcast(cuts), keys)
-    else:
-        placed = df.withColumn("_cuts", cuts.scalar())
-    below = _rank_in(F.col("_cuts"), F.col(pos), True, n_buckets - 1)
-    if tie:
-        # a value that fills several buckets is spread over them by its tie key
-        upto = _rank_in(F.col("_cuts"), F.col(pos), False, n_buckets - 1)
-        spread = F.floor(F.col(tie) * (upto - below + 1) / F.lit(float(1 << TIE_BITS)))
-        bucket = below + spread.cast("int")
+    salt = F.xxhash64(F.monotonically_increasing_id())
+    order = [*keys, pos, *then, *([tie] if tie else []), "_scan_salt"]
+    salted = df.withColumn("_scan_salt", salt)
+    if rows_per_bucket:
+        dealt = salted.repartitionByRange(max(1, math.ceil(df.count() / rows_per_bucket)), *order)
     else:
-        bucket = below
-    placed = placed.withColumn("_bucket", bucket).drop("_cuts")
-
-    part = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.select(
-        "*", *[_AGG[fn](F.col(c)).over(part).alias(f"_in_{out}") for out, (fn, c) in running.items()]
-    )
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys, "_bucket").agg(
-        *[_AGG[fn](F.col(c)).alias(f"_t_{out}") for out, (fn, c) in running.items()]
-    )
+        dealt = salted.repartitionByRange(*order)
+    placed = dealt.sortWithinPartitions(*order).withColumn("_scan_at", F.monotonically_increasing_id())
+    placed = placed.withColumn("_scan_range", F.shiftright("_scan_at", 33)).drop("_scan_salt")  # the high bits number the partition
+    inside = Window.partitionBy("_scan_range", *keys).orderBy("_scan_at").rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select("*", *[_AGG[fn](F.col(c)).over(inside).alias(f"_in_{out}") for out, (fn, c) in running.items()])
+    local = materialize(local, "scan")
+
+    totals = local.groupBy("_scan_range", *keys).agg(*[F.max_by(f"_in_{out}", "_scan_at").alias(f"_t_{out}") for out in running])
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_scan_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys,
-        "_bucket",
+        *[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)],
+        F.col("_scan_range").alias("_scan_of"),
         *[_AGG[fn](F.col(f"_t_{out}")).over(earlier).alias(f"_b_{out}") for out, (fn, _) in running.items()],
     )
-    joined = local.join(F.broadcast(offsets), [*keys, "_bucket"])
-    return joined.select(
+    same = F.col("_scan_range") == F.col("_scan_of")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+    return local.join(offsets, same).select(
         *df.columns,
-        *[
-            _MERGE[fn](F.col(f"_b_{out}"), F.col(f"_in_{out}")).alias(out)
-            for out, (fn, _) in running.items()
-        ],
+        *[_MERGE[fn](F.col(f"_b_{out}"), F.col(f"_in_{out}")).alias(out) for out, (fn, _) in running.items()],
     )
 
 
@@ -126,7 +88,7 @@ def row_ranks(
     *,
     keys: Sequence[str] = (),
     out: str = "rank",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """1-based row number over ``(pos, tie)`` inside ``keys``."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
@@ -141,7 +103,7 @@ def order_statistics(
     *,
     keys: Sequence[str] = (),
     weight: str | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Exact sorted-position lookups per key: ``picks`` maps a name to a 0-based index.
 
@@ -153,9 +115,12 @@ def order_statistics(
     size = F.sum(weight) if weight else F.count("*")
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("_c"))
     scanned = ordered_scan(counts, value, {"_upto": ("sum", "_c")}, keys=keys, rows_per_bucket=rows_per_bucket)
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    sizes = scanned.groupBy(*[F.col(k).alias(f"_s_{i}") for i, k in enumerate(keys)]).agg(F.max("_upto").alias("_n"))
     if keys:
-        sized = scanned.join(F.broadcast(sizes), keys)  # one row per key of a short list
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"_s_{i}"))
+        sized = scanned.join(sizes, same)
     else:
         sized = scanned.withColumn("_n", sizes.scalar())
     return sized.groupBy(*keys).agg(
@@ -202,7 +167,7 @@ def interval_sums(
     hi: str = "hi",
     lo_closed: bool = True,
     hi_closed: bool = True,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """For each distinct ``(lo, hi)`` probe, the sums of ``points`` lying between.
 

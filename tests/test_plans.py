@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import statistics
 
@@ -33,6 +34,31 @@ def test_one_value_in_a_third_of_all_rows_is_spread(spark):
     assert [r["rank"] for r in order] == list(range(1, 3001))
 
 
+def test_many_keys_and_null_ones_and_one_row(spark):
+    rows = [(k if k % 50 else None, k * 7 % 13, k % 5 or None) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k bigint, pos bigint, v bigint").repartition(3)
+    got = scan.ordered_scan(df, "pos", {"s": ("sum", "v"), "hi": ("max", "v")}, keys=["k"], rows_per_bucket=150)
+    ends = {r.k: (r.s, r.hi) for r in got.groupBy("k").agg(F.max("s").alias("s"), F.max("hi").alias("hi")).collect()}
+    want = {}
+    for k, _, v in rows:
+        s, hi = want.get(k, (0, None))
+        want[k] = (s + (v or 0), max(hi, v) if hi and v else hi or v)
+    assert ends == {k: (s, hi) for k, (s, hi) in want.items()}
+    one = scan.ordered_scan(df.limit(1), "pos", {"s": ("sum", "pos")}).collect()
+    assert [r.s for r in one] == [r.pos for r in one]
+    assert scan.ordered_scan(df.limit(0), "pos", {"s": ("sum", "v")}).count() == 0
+
+
+def test_three_million_rows_a_third_of_them_equal(spark):
+    df = spark.range(3_000_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("pos"), F.lit(1).cast("bigint").alias("one"))
+    got = scan.ordered_scan(df, "pos", {"rank": ("sum", "one")}, rows_per_bucket=250_000)
+    found = got.agg(F.sum("rank"), F.min("rank"), F.max("rank"), F.approx_count_distinct("rank")).first()
+    n = 3_000_000
+    assert tuple(found)[:3] == (n * (n + 1) // 2, 1, n)
+    per_range = got.groupBy(F.floor((F.col("rank") - 1) / 1_000_000)).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).orderBy("lo").collect()
+    assert per_range[0].lo == 1 and all(a.hi <= b.lo for a, b in zip(per_range, per_range[1:], strict=False))
+
+
 @pytest.mark.parametrize("per_bucket", [5, 10_000])
 def test_exact_order_statistics(spark, per_bucket):
     rng = random.Random(2)
@@ -66,11 +92,15 @@ def test_interval_sums_against_pairs(spark, closed, per_bucket):
         assert r.n == sum(inside)
 
 
-@pytest.mark.parametrize("per_bucket", [50, 10_000])
-def test_interval_moments_against_pairs(spark, per_bucket):
+@pytest.mark.parametrize("step", [1, 130_000, 7_000_003, 3_600_000_000, 30_000_000_000])
+def test_interval_moments_against_pairs(spark, step):
+    """From microseconds to a year, aligned with tiles and not, with values whose squares would cancel."""
     rng = random.Random(4)
-    samples = [(rng.choice("xy"), rng.randrange(900), rng.choice([None, float(rng.randrange(50))])) for _ in range(700)]
-    spans = [(a, a + rng.choice([0, 5, 80, 600])) for a in (rng.randrange(-20, 900) for _ in range(40))]
+    samples = [(rng.choice("xy"), rng.randrange(900) * step, rng.choice([None, 1e9 + rng.randrange(50)])) for _ in range(700)]
+    samples += [("x", 400 * step, 1e9)] * 350  # one instant with a third of all readings
+    samples += [(None, 5 * step, 2.0)]
+    spans = [(a * step, (a + rng.choice([0, 5, 80, 600])) * step + rng.choice([0, 1, -1])) for a in (rng.randrange(-20, 900) for _ in range(40))]
+    spans += [(-(10**6), 10**6), (0, 60 * 10**6), (3600 * 10**6, 7200 * 10**6 - 1), (10, 3)]
     got = {
         (r.lo, r.hi, r.m): r
         for r in intervals.interval_moments(
@@ -80,11 +110,10 @@ def test_interval_moments_against_pairs(spark, per_bucket):
             hi="b",
             at="t",
             by=["m"],
-            rows_per_bucket=per_bucket,
         ).collect()
     }
     for lo, hi in set(spans):
-        for m in "xy":
+        for m in ("x", "y", None):
             cells = [(t, v) for k, t, v in samples if k == m and lo <= t <= hi]
             if not cells:
                 assert (lo, hi, m) not in got
@@ -93,7 +122,9 @@ def test_interval_moments_against_pairs(spark, per_bucket):
             assert (r.n, r.instants) == (len(vals), len({t for t, _ in cells}))
             if vals:
                 assert (r.low, r.high) == (min(vals), max(vals))
-                assert r.total == pytest.approx(sum(vals)) and r.total_sq == pytest.approx(sum(v * v for v in vals))
+                mean = math.fsum(vals) / len(vals)
+                assert r.mean == pytest.approx(mean, rel=1e-15)
+                assert r.m2 == pytest.approx(math.fsum((v - mean) ** 2 for v in vals), rel=1e-5, abs=1e-4)
 
 
 @pytest.mark.parametrize("after", [True, False])
