@@ -14,9 +14,9 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +76,12 @@ class LibraryIds(WordBpe):
         return out
 
 
+@lru_cache(maxsize=2)
+def library_ids(path: str) -> LibraryIds:
+    """One encoder per Python worker and path; its table of words goes on from task to task."""
+    return LibraryIds(path)
+
+
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces (``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``) of every whole text.
 
@@ -84,7 +90,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, end = LibraryIds(path), np.array([end_id], "<u4").tobytes()
+        library, end = library_ids(path), np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for b in batches:
             out: list[list[int | None]] = [[], [], [], [], []]
@@ -130,8 +136,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; gapless from 0 in every sequence, none over ``capacity``.
 
     Repeated ids are separate pieces as they come; an empty table gives none.
-    Pieces of equal length go by doc_id, piece and checksum, so the result doesn't
-    depend on how rows were dealt.
+    Pieces of equal length go by doc_id (null last), piece and checksum, so the result
+    doesn't depend on how rows were dealt.
     """
     pieces = materialize(pieces, "pieces")
     shards, level = _shards(pieces.count()), 0
@@ -162,15 +168,17 @@ def _shards(pieces: int) -> int:
 def _pack_shards(pieces: DataFrame, shards: int, level: int, capacity: int) -> DataFrame:
     """``pieces`` packed in ``shards`` that differ by at most one piece, whatever repeats among them."""
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(
-            ["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable"
-        )
-        bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
-        filled = np.bincount(bins, weights=rows["length"].to_numpy()).astype(np.int64)
-        return rows.assign(
-            sequence_id=(level << 56) | (int(key[0]) << 32) | bins, offset=offsets, room=capacity - filled[bins]
-        )[[c.split()[0] for c in PLACED.split(", ")]]
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        # Arrow keeps 64-bit ids beside nulls as they are
+        rows = rows.sort_by([("length", "descending"), *[(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32")]])
+        lengths = rows.column("length").to_numpy()
+        bins, offsets = sum_of_squares(lengths, capacity)
+        filled = np.bincount(bins, weights=lengths).astype(np.int64)
+        placed = ((level << 56) | (key[0].as_py() << 32) | bins, offsets, capacity - filled[bins])
+        rows = rows.select(columns)
+        for name, values in zip(("sequence_id", "offset", "room"), placed, strict=True):
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
+        return rows
 
     columns = [c.split()[0] for c in PIECE.split(", ")]
     if shards == 1:
@@ -181,7 +189,7 @@ def _pack_shards(pieces: DataFrame, shards: int, level: int, capacity: int) -> D
         keyed = pieces.select(*columns, F.xxhash64(*columns, F.lit(level)).alias("_pos"), salt.alias("_tie"))
         ranked = row_ranks(keyed, "_pos", "_tie", out="_rank", rows_per_bucket=SHARD_PIECES)
         dealt = ranked.select(*columns, F.pmod("_rank", F.lit(shards)).cast("long").alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(pack, PLACED)
+    return dealt.groupBy("shard").applyInArrow(pack, PLACED)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -167,3 +167,9 @@ def test_no_level_packs_more_than_its_bound(spark, monkeypatch):
     once, again = (sorted(map(str, packing.pack_pieces(spark.createDataFrame(x, packing.PIECE).repartition(k), 100).collect())) for k, x in ((3, rows), (7, rows[::-1])))
     assert once == again
     assert max(level for level, _ in seen) >= 1 and max(n for _, n in seen) <= 50
+
+
+def test_ids_beyond_doubles_beside_a_null_id(spark):
+    big = 2**60 + 1
+    placed = packing.pack_pieces(spark.createDataFrame([(big, 0, 0, 5, 1), (None, 0, 0, 6, 2), (big + 1, 0, 0, 7, 3)], packing.PIECE), 10)
+    assert {r.doc_id for r in placed.collect()} == {big, big + 1, None}
