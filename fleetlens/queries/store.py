@@ -10,8 +10,9 @@ from fleetlens.operators import telemetry as ops
 from fleetlens.queries import views
 from fleetlens.queries.registry import query
 from fleetlens.queries.views import ISO, with_views
+from fleetlens.session import scratch_path
 from fleetlens.sources import tables
-from fleetlens.sources.wide_csv import header_frame, melt_lines
+from fleetlens.sources.wide_source import register
 
 WINDOW_S = 7200
 
@@ -38,16 +39,8 @@ _PEAK = "pk AS (SELECT gpu, metric, ts, us FROM tel ORDER BY value DESC, ts DESC
     ),
 )
 def wide_text(spark, sf_dir):
-    """Events written as wide text lines (empty and missing cells) and read back as long rows."""
-    cells = ["Time", *[f"slot-{i}" for i in range(8)]]
-    ev = views.fleet_events(spark, sf_dir)
-    width = F.when(F.col("k") % 2 == 1, F.col("gpu_idx") + 1).otherwise(8)
-    text = F.transform(
-        F.sequence(F.lit(0), width - 1),
-        lambda i: F.when(i == F.col("gpu_idx"), F.col("value").cast("string")).otherwise(F.lit("")),
-    )
-    lines = ev.select(F.concat_ws(",", F.concat(iso("ts"), F.lit("+00:00")), F.array_join(text, ",")).alias("value"))
-    long = melt_lines(lines, header_frame(spark, cells), cells)
+    """Events written as wide text files (empty and missing cells, ISO and relative times) and read back as long rows."""
+    long = _wide_rows(spark, sf_dir)
     return long.groupBy("gpu").agg(
         F.count("*").alias("cells"),
         F.count("value").alias("readings"),
@@ -56,6 +49,54 @@ def wide_text(spark, sf_dir):
     )
 
 
+#: What relative times count from.
+_ORIGIN = "2024-01-01 00:00:00+00:00"
+
+
+def _wide_rows(spark, sf_dir):
+    """All cells of the events' wide files, through the data source; every file has its own header line."""
+    ev = views.fleet_events(spark, sf_dir)
+    header = ",".join(["Time", *[f"slot-{i}" for i in range(8)]])
+    width = F.when(F.col("k") % 2 == 1, F.col("gpu_idx") + 1).otherwise(8)
+    text = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.when(i == F.col("gpu_idx"), F.col("value").cast("string")).otherwise(F.lit("")))
+    cells = F.array_join(text, ",")
+    seconds = ((F.unix_micros("ts") - F.unix_micros(F.to_timestamp(F.lit(_ORIGIN)))).cast("decimal(24,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(24,6)")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    path = scratch_path(spark, "wide")
+    register(spark)
+    read = spark.read.format("widecsv").option("origin", _ORIGIN)
+    out = None
+    for kind, rows, time in (
+        ("iso", ev.where("k % 3 <> 0"), F.concat(iso("ts"), F.lit("+00:00"))),
+        ("relative", ev.where("k % 3 = 0"), seconds.cast("string")),
+    ):
+        lines = rows.repartition(4, "k").select(F.concat_ws(",", time, cells).alias("line"))
+        # the first line of a file comes after its header
+        lines.select(F.when(first, F.concat(F.lit(header + "\n"), "line")).otherwise(F.col("line")).alias("value")).write.text(f"{path}/{kind}")
+        part = read.load(f"{path}/{kind}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "wide_source",
+    with_views(
+        f"""WITH w AS (SELECT ts, gpu_idx, value, k, CASE WHEN k % 2 = 1 THEN gpu_idx + 1 ELSE 8 END AS width FROM ev),
+        c AS (SELECT i, w.*, CASE WHEN w.gpu_idx = i THEN value END AS cell FROM w, (SELECT unnest(range(8)) AS i) WHERE i < w.width)
+        SELECT 'slot#' || i AS gpu, count(*) AS readings, round(sum(cell), 4) AS total, strftime(min(ts), {ISO}) AS first, strftime(max(ts), {ISO}) AS last
+        FROM c WHERE i IN (1, 4, 6) AND cell IS NOT NULL AND ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts < TIMESTAMP '2024-01-22 12:30:00' GROUP BY i""",
+        "ev",
+    ),
+)
+def wide_source(spark, sf_dir):
+    """Readings of three devices in a fortnight; devices, times and idle cells are settled in the scan of the wide files."""
+    inside = (F.col("ts") >= F.to_timestamp(F.lit("2024-01-08 00:00:00"))) & (F.col("ts") < F.to_timestamp(F.lit("2024-01-22 12:30:00")))
+    some = _wide_rows(spark, sf_dir).where(inside & F.col("gpu").isin("slot#1", "slot#4", "slot#6") & F.col("value").isNotNull())
+    return some.groupBy("gpu").agg(
+        F.count("*").alias("readings"), F.round(F.sum("value"), 4).alias("total"), iso(F.min("ts")).alias("first"), iso(F.max("ts")).alias("last")
+    )
+
+
 @query("point_value", with_views(f"WITH {_PEAK} SELECT t.value FROM tel t JOIN pk USING (gpu, metric, ts)", "tel"))
 def point_value(spark, sf_dir):
     tel, gpu, metric, ts = _peak(spark, sf_dir)

@@ -6,77 +6,24 @@ The text route keeps three cell states apart: an empty cell is a row with a NULL
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+import json
+from collections.abc import Collection, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.functions.ids import canonical, parse_header_name
-from fleetlens.functions.timeutil import relative_bounds, relative_seconds, strict_instant, strict_relative_seconds, window_bounds
+from fleetlens.functions.timeutil import relative_bounds, strict_instant, strict_relative_seconds, window_bounds
+from fleetlens.sources.wide_source import WideReader, register
 
 
 def check_header(line: str | None, source: str) -> list[str]:
     """Header cells of a wide source; anything but ``Time`` plus a device column fails."""
     cells = (line or "").rstrip("\r\n").split(",")
-    if source.endswith(".pkl") or cells[0] != "Time" or len(cells) < 2:
+    if cells[0] != "Time" or len(cells) < 2:
         raise ValueError(f"not a wide time-series source (need 'Time' and at least one device column): {source}")
     return cells
 
 
-def header_frame(spark: SparkSession, cells: Sequence[str], alias: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per device column of one header: ``pos, raw, node, gpu_idx``."""
-    rows = [(i, raw, *parse_header_name(raw, alias)) for i, raw in enumerate(cells[1:], start=1)]
-    return spark.createDataFrame(rows, "pos int, raw string, node string, gpu_idx int")
-
-
-def melt_lines(lines: DataFrame, header: DataFrame, cells: Sequence[str], *, keep: Column | None = None, origin: str | None = None) -> DataFrame:
-    """Split text lines (column ``value``) into ``(ts, node, gpu_idx, gpu, value)`` rows.
-
-    A repeated header line must equal the first; another header under one source fails
-    the job rather than shifting columns.
-    """
-    head = ",".join(cells)
-    clean = F.regexp_replace("value", r"\r$", "")
-    body = (
-        lines.select(clean.alias("line"))
-        .where(F.trim("line") != "")
-        .where(
-            F.when(
-                F.col("line").startswith("Time,") & (F.col("line") != F.lit(head)),
-                F.raise_error(F.lit("a file's header differs from the others of its source")).cast("boolean"),
-            ).otherwise(F.col("line") != F.lit(head))
-        )
-    )
-    parts = body.select(F.split("line", ",", -1).alias("cells"))
-    read = strict_instant(F.get("cells", F.lit(0)))
-    # a time in seconds since the trace began reads as no instant; without one rows would have no order
-    told = F.raise_error(F.lit("the times are relative seconds: use text_window_stats, or give an origin")).cast("timestamp")
-    seconds = relative_seconds(F.get("cells", F.lit(0)))
-    since = F.timestamp_micros((seconds * 1_000_000).cast("bigint") + F.unix_micros(F.to_timestamp(F.lit(origin)))) if origin else told
-    timed = parts.select(F.coalesce(read, since).alias("ts"), "cells")
-    if keep is not None:
-        timed = timed.where(keep)
-    cell = F.posexplode(F.expr("slice(cells, 2, greatest(size(cells) - 1, 0))")).alias("pos0", "cell")
-    exploded = timed.select("ts", cell).select("ts", (F.col("pos0") + 1).alias("pos"), "cell")
-    # one row per column of a single header line, so the broadcast side is that line's width
-    named = exploded.join(F.broadcast(header), "pos")
-    return named.select(
-        "ts",
-        "node",
-        "gpu_idx",
-        canonical("node", "gpu_idx").alias("gpu"),
-        F.when(F.col("cell") != "", F.col("cell").cast("double")).alias("value"),
-    )
-
-
-def _headed(lines: DataFrame) -> None:
-    """Fails if a file of the source has no header line, since its cells would be read under another file's."""
-    named = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").startswith("Time").alias("head"))
-    bare = named.groupBy("file").agg(F.bool_or("head").alias("head")).where("NOT head").first()
-    if bare:
-        raise ValueError(f"not a wide source: {bare['file']} has no header line")
-
-
 def read_wide(
     spark: SparkSession,
     path: str,
@@ -90,23 +37,20 @@ def read_wide(
 ) -> DataFrame:
     """Long rows ``(ts, node, gpu_idx, gpu, metric, value)`` of one wide source.
 
-    ``path`` may be a file, folder or glob whose files share one header. ``time_range`` is
-    inclusive; ``gpus=None`` keeps every device and an empty collection keeps none.
-    ``keep_empty`` retains idle cells as NULL values (fault detection needs them). Times in
-    relative seconds are placed after ``origin``; without one they fail the job. Each file
-    has to begin with the header line.
+    ``path`` may be a file, folder or glob; every file begins with a header line of its
+    own. ``time_range`` is inclusive; ``gpus=None`` keeps every device and an empty
+    collection keeps none. ``keep_empty`` retains idle cells as NULL values (fault detection
+    needs them). Times in relative seconds are placed after ``origin``; without one they
+    fail the job. All of these reach the scan, see :mod:`fleetlens.sources.wide_source`.
     """
-    lines = spark.read.text(path)
-    _headed(lines)
-    first = lines.first()
-    cells = check_header(first.value if first else None, path)
-    header = header_frame(spark, cells, alias)
-    if gpus is not None:
-        header = header.where(canonical("node", "gpu_idx").isin(list(gpus)))
-    keep = None
+    register(spark)
+    WideReader({"path": path, "alias": json.dumps(dict(alias or {}))}).partitions()  # a file without a header fails here
+    reader = spark.read.format("widecsv").option("alias", json.dumps(dict(alias or {})))
+    long = (reader.option("origin", origin) if origin else reader).load(path)
     if time_range is not None:
-        keep = F.col("ts").between(*[F.to_timestamp(F.lit(t)) for t in time_range])
-    long = melt_lines(lines, header, cells, keep=keep, origin=origin)
+        long = long.where(F.col("ts").between(*[F.to_timestamp(F.lit(t)) for t in time_range]))
+    if gpus is not None:
+        long = long.where(F.col("gpu").isin(list(gpus)))
     if not keep_empty:
         long = long.where(F.col("value").isNotNull())
     return long.select("ts", "node", "gpu_idx", "gpu", F.lit(metric).alias("metric"), "value")

@@ -74,8 +74,11 @@ def test_bad_sources_fail(spark, tmp_path):
     folder.mkdir()
     write(folder, "1.csv", "Time,n-0\n2023-08-15 00:00:00+08:00,1\n")
     write(folder, "2.csv", "Time,n-1\n2023-08-15 00:00:00+08:00,1\n")
-    with pytest.raises(Exception, match="header differs"):
-        wide_csv.read_wide(spark, str(folder), "X").collect()
+    # every file has a header of its own
+    assert sorted(r.gpu for r in wide_csv.read_wide(spark, str(folder), "X").collect()) == ["n#0", "n#1"]
+    twice = write(tmp_path, "e.csv", "Time,n-0\n2023-08-15 00:00:00+08:00,1\nTime,n-1\n2023-08-15 00:00:15+08:00,1\n")
+    with pytest.raises(Exception, match="header line differs"):
+        wide_csv.read_wide(spark, twice, "X").collect()
 
 
 def test_relative_seconds_and_headless_files(spark, tmp_path):
@@ -138,3 +141,28 @@ def test_job_trace_header_is_fixed(spark, tmp_path):
     path = write(tmp_path, "jobs.csv", head + "\nj1,u,1,8,1,1,1,train,FAILED,a,b,c,2023-08-29 05:57:10+00:00,d,1,q,2\n")
     row = tables.read_jobs(spark, path).first()
     assert (row.job_id, row.state, row.fail_time, row.gpu_time) == ("j1", "FAILED", "2023-08-29 05:57:10+00:00", "2")
+
+
+def test_byte_ranges_take_every_line_once_and_filters_reach_the_scan(spark, tmp_path):
+    from fleetlens.sources.wide_source import register
+
+    register(spark)
+    folder = tmp_path / "src"
+    folder.mkdir()
+    lines = [f"2024-03-01T00:{i // 60:02d}:{i % 60:02d}Z,{i},{'' if i % 3 else i * 2}" for i in range(500)]
+    write(folder, "a.csv", "Time,n-0,n-1\n" + "\n".join(lines) + "\n")
+    write(folder, "b.csv", "Time,m-4\r\n" + "".join(f"{i}.5,{i}\r\n" for i in range(100)) + "\r\n100.5,7")  # no line end at last
+    write(folder, "_hidden", "x")
+    load = spark.read.format("widecsv").option("origin", "2024-03-01 00:00:00+00:00")
+    whole = load.load(str(folder))
+    want = sorted(map(str, whole.collect()))
+    assert len(want) == 1101
+    for size in (7, 100, 4096):
+        cut = load.option("partitionBytes", size).load(str(folder))
+        assert sorted(map(str, cut.collect())) == want
+    some = whole.where("ts >= '2024-03-01 00:01:00' AND ts < '2024-03-01 00:01:10' AND gpu IN ('n#1', 'm#4') AND value IS NOT NULL")
+    plain = [r for r in whole.collect() if 60 <= r.ts.minute * 60 + r.ts.second < 70 and r.gpu in ("n#1", "m#4") and r.value is not None]
+    assert sorted(map(str, some.collect())) == sorted(map(str, plain)) and plain
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.split("BatchScan")[0], plan
+    assert whole.where("gpu = 'nobody'").count() == 0 and whole.where("value > 480").count() > 0
