@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ META_MINUTES = 20
 MAX_CASCADE = 6
 MAX_ISOLATED = 4
 MAX_LISTED = 8
+#: Samples of an island that one task settles (16 MB); a longer one is a storm of a fortnight without a minute's rest.
+ISLAND = 1_000_000
 
 
 def _with_neighbours(rows: DataFrame, reach_us: int) -> tuple[DataFrame, Window]:
@@ -77,14 +82,46 @@ def burst_centers(
 ) -> DataFrame:
     """Burst centres: samples taken by cohort size (then time), each claiming its neighbours.
 
-    A sample is a centre when no stronger centre lies within ``window_s``. Every round
-    settles, all over the timeline at once, the open samples that outrank every open
-    neighbour, and closes the neighbours; the outcome equals taking them one by one. Rounds
-    repeat until nothing is open, each from a written table.
+    A sample is a centre when no stronger centre lies within ``window_s``. No claim
+    crosses a gap wider than that, so the timeline falls into islands. Islands of up to
+    ISLAND samples are settled one by one in a task each; longer ones in rounds.
     """
     sized = cohort_sizes(onset_rows, window_s).where(F.col("cohort") >= min_onsets)
-    state = materialize(sized.select(micros("ts").alias("_at"), "cohort", F.lit(0).alias("mark")), "burst")
+    state = materialize(sized.select(micros("ts").alias("_at"), "cohort"), "burst")
     reach = window_s * MICROS
+    near, order = _with_neighbours(state, reach)
+    before = F.count("*").over(order.rangeBetween(-reach, -1))
+    starts = near.withColumn("_start", F.when(before == 0, F.col("_at"))).where("_bucket = _home")
+    placed = ordered_scan(starts.select("_at", "cohort", "_start"), "_at", {"_island": ("max", "_start")})
+    sizes = placed.groupBy("_island").agg(F.count("*").alias("_size"))
+    placed = placed.join(sizes, "_island").select("_at", "cohort", "_island", "_size")
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cohort", "descending"), ("_at", "ascending")])
+        chosen: list[int] = []
+        picked = []
+        for row, at in enumerate(table.column("_at").to_pylist()):
+            k = bisect_left(chosen, at - reach)
+            if k == len(chosen) or chosen[k] > at + reach:
+                insort(chosen, at)
+                picked.append(row)
+        return table.select(["_at", "cohort"]).take(pa.array(picked, pa.int64()))
+
+    short = placed.where(F.col("_size") <= ISLAND).groupBy("_island").applyInArrow(settle, "_at bigint, cohort bigint")
+    long = _settled_in_rounds(placed.where(F.col("_size") > ISLAND).select("_at", "cohort"), reach)
+    found = short if long is None else short.unionByName(long)
+    return found.select(F.timestamp_micros("_at").alias("center"), F.col("cohort").alias("n_onsets"))
+
+
+def _settled_in_rounds(samples: DataFrame, reach: int) -> DataFrame | None:
+    """Centres (``_at``, ``cohort``) of long islands: every round settles the open samples that outrank all open neighbours.
+
+    Each round is a written table; what it chose or closed takes no part in the next
+    but as a centre that closes its neighbours. None without samples.
+    """
+    state = materialize(samples.withColumn("mark", F.lit(0)), "burst")
+    if state.isEmpty():
+        return None
     while not state.where("mark = 0").isEmpty():  # a round settles at least the strongest open sample
         near, order = _with_neighbours(state, reach)
         frame = order.rangeBetween(-reach, reach)
@@ -103,7 +140,7 @@ def burst_centers(
         )
         # closed samples neither choose nor block, so only open ones and centres go on
         state = materialize(seen.select("_at", "cohort", mark.alias("mark")).where("mark >= 0"), "burst")
-    return state.where("mark = 1").select(F.timestamp_micros("_at").alias("center"), F.col("cohort").alias("n_onsets"))
+    return state.where("mark = 1").select("_at", "cohort")
 
 
 def bursts(onset_rows: DataFrame, centers: DataFrame, window_s: int = COHORT_SECONDS) -> DataFrame:

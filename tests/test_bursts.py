@@ -29,6 +29,32 @@ def test_centers_equal_the_one_by_one_choice(onsets_of, seed):
     assert sorted(((r.center - at(0)).total_seconds(), r.n_onsets) for r in got) == greedy(counts, 6, 45)
 
 
+@pytest.mark.parametrize("island", [0, 3, 10**6])
+def test_islands_and_rounds_choose_alike(onsets_of, monkeypatch, island):
+    monkeypatch.setattr(ops, "ISLAND", island)
+    rng = random.Random(9)
+    rows = [(15 * rng.choice([rng.randrange(40), rng.randrange(400, 900)]), f"n{i}#0") for i in range(400)]
+    counts = {}
+    for s, _ in rows:
+        counts[s] = counts.get(s, 0) + 1
+    got = ops.burst_centers(onsets_of(rows), min_onsets=3, window_s=45).collect()
+    assert sorted(((r.center - at(0)).total_seconds(), r.n_onsets) for r in got) == greedy(counts, 3, 45)
+
+
+def test_a_slope_of_a_thousand_samples_takes_few_written_tables(spark, onsets_of, monkeypatch):
+    """Each sample is outranked by the next, so rounds would settle one or two at a time."""
+    written, write = [], ops.materialize
+    monkeypatch.setattr(ops, "materialize", lambda *a: written.append(a[-1]) or write(*a))
+    from pyspark.sql import functions as F
+
+    # sample k has k + 1 onsets
+    rows = spark.range(1000).select(F.explode(F.sequence(F.lit(0), F.col("id"))).alias("i"), "id")
+    onsets = rows.select(F.timestamp_seconds(F.lit(1_700_000_000) + 15 * F.col("id")).alias("ts"), F.lit("n#0").alias("gpu"), F.lit("n").alias("node"), F.lit(0).alias("gpu_idx"), F.lit(43).alias("code"))
+    got = sorted((r.center.timestamp() - 1_700_000_000, r.n_onsets) for r in ops.burst_centers(onsets, min_onsets=40, window_s=45).collect())
+    assert got == greedy({15 * k: k + 1 for k in range(1000)}, 40, 45)
+    assert len(written) <= 20
+
+
 def test_adjacent_samples_are_one_burst_and_latched_fleet_is_none(onsets_of):
     rows = [(6000, f"a{i}#{i % 8}") for i in range(30)] + [(6015, f"b{i}#0", 31) for i in range(20)] + [(9000, "z#0", 94)]
     onset_rows = onsets_of(rows)
