@@ -221,12 +221,16 @@ def precursors(
 
     Baseline is everything before the last ``exclude_s`` seconds (median, sample std, 0 for
     one reading). A lead without baseline or readings does not count. A deviation is
-    detectable at two baseline stds, or beyond 1e-9 when the baseline never moves.
+    detectable at two baseline stds, or beyond 1e-9 when the baseline never moves. The
+    baselines' medians come from value counts in one global order, so no event's
+    readings are held together, however many it has.
     """
-    window = prefault_windows(telemetry, onset_rows, baseline_s)
-    base = F.when(F.col("_at") < F.col("_t") - exclude_s * MICROS, F.col("value"))
-    per_event = window.groupBy("gpu", "_t", "metric").agg(
-        F.median(base).alias("base_med"),
+    window = materialize(prefault_windows(telemetry, onset_rows, baseline_s), "prefault")  # read for sums and for medians
+    before = F.col("_at") < F.col("_t") - exclude_s * MICROS
+    base = F.when(before, F.col("value"))
+    event = ["gpu", "_t", "metric"]
+    medians = exact_medians(window.where(before), "value", keys=event).select(*event, F.col("median").alias("base_med"))
+    per_event = window.groupBy(*event).agg(
         F.coalesce(F.stddev_samp(base), F.lit(0.0)).alias("base_std"),
         *[
             x
@@ -238,7 +242,7 @@ def precursors(
                 ).alias(f"slope_{h}"),
             )
         ],
-    )
+    ).join(medians, event)  # an event without baseline does not count
     leads = per_event.select(
         "metric",
         "base_med",

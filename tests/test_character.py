@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from conftest import at
 
@@ -54,3 +56,18 @@ def test_precursor_rules(spark, onsets_of):
     # nothing before the excluded lead: the event does not count
     late = spark.createDataFrame(rows[-5:], TEL)
     assert ops.precursors(late, onsets_of([(1200, "n#0")]), horizons_s=[60], baseline_s=7200, exclude_s=600).count() == 0
+
+
+def test_a_baseline_that_holds_a_third_of_all_readings(spark, onsets_of):
+    """Medians of very unequal baselines, even and odd, against plain ones."""
+    import statistics
+
+    rng = random.Random(3)
+    sizes = {"a#0": 3000, "b#1": 2, "c#2": 7, "d#3": 1, "e#4": 40}
+    rows = [(at(rng.randrange(5000)), g, "m", float(rng.randrange(30))) for g, n in sizes.items() for _ in range(n)]
+    rows += [(at(7000), g, "m", 100.0) for g in sizes]
+    tel = spark.createDataFrame(rows, "ts timestamp, gpu string, metric string, value double").repartition(3)
+    (got,) = ops.precursors(tel, onsets_of([(7200, g) for g in sizes]), horizons_s=[600], baseline_s=7200, exclude_s=600).collect()
+    shifts = [100.0 - statistics.median([v for t, x, _, v in rows if x == g and t < at(6600)]) for g in sizes]
+    assert got.events_with_lead_samples == 5
+    assert abs(got.mean_delta - statistics.mean(shifts)) < 1e-9 and got.median_delta == statistics.median(shifts)
