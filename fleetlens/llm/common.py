@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_rows(df: DataFrame, **columns: Column | str) -> DataFrame:
+    """Each row as one struct ``row`` beside ``columns``, so that no name of its own can clash; ``row.*`` gives it back."""
+    own = [F.col(c) if isinstance(c, str) else c for c in columns.values()]
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for c, k in zip(own, columns, strict=True)])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]

@@ -10,10 +10,14 @@ hashed shingles, the bits in which two bitmaps differ bound the overlap from
 above, and only pairs that pass are intersected as sorted arrays.
 
 A group of near copies has a number of pairs that grows with its square. So a
-first round links every class with leaders of its buckets, further ones with its
-closest partner in another component; the last round compares all pairs that are
-not connected yet. So every link between different components is tried, and the
-components are those of the complete join.
+first round links every class with leaders of its buckets; a second one finds the
+classes that have a partner left to be compared with, and a third settles all of
+their pairs inside their tiles: sets come along as sorted 32-bit hashes,
+pairs that bitmaps and hashes leave are joined in a union-find, and a tile gives
+only the links that join two of its components, so at most one per member. These
+are verified by the sets themselves; should one fail, the round is repeated with
+other hashes. So every link between different components is tried, no list of
+pairs is made, and the components are those of the complete join.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import WORD
+from fleetlens.llm.common import WORD, whole_rows
 from fleetlens.llm.hashing import (
     SKETCH_BITS,
     SLICES,
@@ -35,6 +39,7 @@ from fleetlens.llm.hashing import (
     components,
     filter_slot,
     merged_sketch,
+    mixed,
     row_filter,
     sketch_parts,
     sketch_rows,
@@ -53,10 +58,11 @@ MIN_BITS, MAX_BITS = 64, 1 << 16
 #: Leaders tried for a class in the first round, and buckets that are compared by their members in the second.
 LEADERS = 4
 FEW = 16
-#: Rounds of closest partners before all pairs left are compared; more only save pairs.
-ROUNDS = 3
-#: Buckets beyond this are cut into tiles of about so many sets.
-TILE = 1024
+#: Buckets beyond this are cut into tiles of about so many sets of SET_SIZE shingles; a larger set counts for several.
+#: A tile is held by one task (about 50 MB), and each cut sends a set to more tiles.
+TILE, SET_SIZE = 8192, 500
+#: Bits per shingle of the last round's bitmaps, which are made where the tile is: they alone reject nearly all that is below 0.74.
+WIDE = 32
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -68,11 +74,11 @@ def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(window_hashes(h, SHINGLE))
 
 
-def bitmap(s: np.ndarray) -> bytes:
+def bitmap(s: np.ndarray, per_shingle: int = 1) -> bytes:
     """Bits h mod width of a set; halving the width is OR-ing the halves."""
-    width = min(max(MIN_BITS, 1 << (len(s) - 1).bit_length()), MAX_BITS)
+    width = min(max(MIN_BITS, per_shingle << (len(s) - 1).bit_length()), per_shingle * MAX_BITS)
     flags = np.zeros(width, bool)
-    flags[(s & np.uint64(width - 1)).astype(np.int64)] = True
+    flags[(s & s.dtype.type(width - 1)).astype(np.int64)] = True
     return np.packbits(flags).tobytes()
 
 
@@ -203,70 +209,92 @@ def close_by_bits(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def tile_pairs(
-    key: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, bits: list[bytes], closest: bool
-) -> dict[tuple[int, int], int]:
-    """Pairs of one tile that differ in label and pass sizes and bitmaps, with the bits they differ in.
+class Tile:
+    """The sets of one tile by size, with their bitmaps by width."""
 
-    ``closest``: of each set only the pair with the fewest differing bits for its
-    size. ``side`` 0 meets 0 and 1, 1 only meets 0.
-    """
-    order = np.argsort(n, kind="stable")
-    key, n, label, side = key[order], n[order], label[order], side[order]
-    width = np.array([len(bits[i]) for i in order])
-    rows = {w: np.flatnonzero(width == w) for w in np.unique(width)}
-    maps = {w: np.frombuffer(b"".join(bits[order[i]] for i in r), np.uint8).reshape(len(r), w) for w, r in rows.items()}
-    found: dict[tuple[int, int], int] = {}
-    best = np.full(len(key), np.inf)
-    partner = np.full(len(key), -1)
-    for i in range(len(key)):
-        own = maps[width[i]][np.searchsorted(rows[width[i]], i)]
-        for w, r in rows.items():
-            start, stop = np.searchsorted(r, i, "right"), np.searchsorted(n[r], n[i] * 4 // 3, "right")
-            if start >= stop:
-                continue
+    def __init__(self, key: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, bits: list[bytes]) -> None:
+        self.order = np.argsort(n, kind="stable")
+        self.key, self.n, self.label, self.side = key[self.order], n[self.order], label[self.order], side[self.order]
+        self.width = np.array([len(bits[i]) for i in self.order])
+        self.rows = {w: np.flatnonzero(self.width == w) for w in np.unique(self.width)}
+        self.maps = {w: np.frombuffer(b"".join(bits[self.order[i]] for i in r), np.uint8).reshape(len(r), w) for w, r in self.rows.items()}
+
+    def close(self, i: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Larger sets of other labels that sizes and bitmaps allow to be linked with set ``i``, and the bits they differ in.
+
+        ``side`` 0 meets 0 and 1, 1 only meets 0.
+        """
+        own = self.maps[self.width[i]][np.searchsorted(self.rows[self.width[i]], i)]
+        for w, r in self.rows.items():
+            start, stop = np.searchsorted(r, i, "right"), np.searchsorted(self.n[r], self.n[i] * 4 // 3, "right")
             other = r[start:stop]
-            open_ = (label[other] != label[i]) & ((side[other] + side[i]) < 2)
+            open_ = (label[other] != label[i]) & ((self.side[other] + self.side[i]) < 2)
             if not open_.any():
                 continue
-            other, there = other[open_], maps[w][start:stop][open_]
+            other, there = other[open_], self.maps[w][start:stop][open_]
             differ = differing_bits(own, there)
-            good = fits_by_bits(n[other], n[i], differ)
-            other, differ = other[good], differ[good]
-            if not len(other):
-                continue
-            if closest:
-                share = differ / (n[other] + n[i])
-                nearer = share < best[other]
-                best[other[nearer]], partner[other[nearer]] = share[nearer], i
-                if share.min() < best[i]:
-                    best[i], partner[i] = share.min(), other[share.argmin()]
-            else:
-                for j, d in zip(other.tolist(), differ.tolist(), strict=True):
-                    found[tuple(sorted((int(key[i]), int(key[j]))))] = d
+            good = fits_by_bits(self.n[other], self.n[i], differ)
+            if good.any():
+                yield other[good], differ[good]
+
+
+def closest_in(tile: Tile) -> dict[tuple[int, int], int]:
+    """Of each set the pair with the fewest differing bits for its size: at most one pair per set."""
+    best, partner = np.full(len(tile.key), np.inf), np.full(len(tile.key), -1)
+    for i in range(len(tile.key)):
+        for other, differ in tile.close(i, tile.label):
+            share = differ / (tile.n[other] + tile.n[i])
+            nearer = share < best[other]
+            best[other[nearer]], partner[other[nearer]] = share[nearer], i
+            if share.min() < best[i]:
+                best[i], partner[i] = share.min(), other[share.argmin()]
+    found = {}
     for i in np.flatnonzero(partner >= 0).tolist():
-        j = int(partner[i])
-        found[tuple(sorted((int(key[i]), int(key[j]))))] = int(best[i] * 1_000_000)
+        found[tuple(sorted((int(tile.key[i]), int(tile.key[partner[i]]))))] = int(best[i] * 1_000_000)
     return found
 
 
-def open_pairs(tiles: DataFrame, closest: bool = False) -> DataFrame:
-    """Candidate pairs (``a`` < ``b``, ``apart``) of all tiles; ``tiles`` has tile columns, key, n, label, side, bits."""
+def links_in(tile: Tile, hashes: list[bytes]) -> dict[tuple[int, int], int]:
+    """Links by 32-bit hashes that join two components of the tile; its members' labels are where they start."""
+    sets = [np.frombuffer(hashes[i], np.uint32) for i in tile.order]
+    # components as numbers; joining two renumbers the members of one
+    _, part = np.unique(tile.label, return_inverse=True)
+    found = {}
+    for i in range(len(sets)):
+        for other, _ in tile.close(i, part):
+            inside = np.concatenate([sets[j] for j in other.tolist()])
+            at = np.minimum(np.searchsorted(sets[i], inside), len(sets[i]) - 1)
+            edges = np.cumsum([0] + [len(sets[j]) for j in other.tolist()])[:-1]
+            both = np.add.reduceat((sets[i][at] == inside).astype(np.int64), edges)
+            for j in other[7 * both >= 3 * (tile.n[other] + tile.n[i])].tolist():
+                if part[j] != part[i]:
+                    found[tuple(sorted((int(tile.key[i]), int(tile.key[j]))))] = 0
+                    part[part == part[j]] = part[i]
+    return found
+
+
+def tile_links(tiles: DataFrame, exact: bool = False) -> DataFrame:
+    """Pairs (``a`` < ``b``, ``apart``) of all tiles; ``tiles`` has tile columns, key, n, label, side, bits.
+
+    Each tile's closest pairs by bits, or, if ``exact``, its links by the hashes
+    that ``bits`` then holds. Either are fewer than the tile has members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         current = None
-        done: dict[tuple[int, int], int] = {}
 
-        def finish() -> None:
+        def finish() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            key, n, label, side = (t.column(c).to_numpy() for c in ("key", "n", "label", "side"))
-            done.update(tile_pairs(key, n.astype(np.int64), label, side, t.column("bits").to_pylist(), closest))
             held.clear()
-
-        def out() -> pa.RecordBatch:
-            columns = [*zip(*done, strict=True), list(done.values())]
-            done.clear()
+            key, n, label, side = (t.column(c).to_numpy() for c in ("key", "n", "label", "side"))
+            bits = t.column("bits").to_pylist()
+            if exact:
+                wide = [bitmap(np.frombuffer(h, np.uint32), WIDE) for h in bits]
+                found = links_in(Tile(key, n.astype(np.int64), label, side, wide), bits)
+            else:
+                found = closest_in(Tile(key, n.astype(np.int64), label, side, bits))
+            columns = [[a for a, _ in found], [b for _, b in found], list(found.values())]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "apart"])
 
         for b in batches:
@@ -275,26 +303,31 @@ def open_pairs(tiles: DataFrame, closest: bool = False) -> DataFrame:
             for k in range(1, len(ids) + 1):
                 if k == len(ids) or ids[k] != ids[at]:
                     if ids[at] != current and held:
-                        finish()
+                        yield finish()
                     current = ids[at]
                     held.append(b.slice(at, k - at))
                     at = k
-            if len(done) > 50_000:  # pairs met in several tiles leave once
-                yield out()
         if held:
-            finish()
-        if done:
-            yield out()
+            yield finish()
 
     dealt = tiles.repartition("token", "tile").sortWithinPartitions("token", "tile")
     pairs = dealt.select("token", "tile", "key", "n", "label", "side", "bits").mapInArrow(run, "a bigint, b bigint, apart bigint")
     return pairs.groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
-def closest_pairs(pairs: DataFrame) -> DataFrame:
-    """Of all pairs the closest one of each key: at most one row per key."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"), F.struct("apart", "a", "b").alias("x"))
-    return ends.groupBy("key").agg(F.min("x").alias("x")).select("x.a", "x.b").distinct()
+def short_hashes(sets: DataFrame, seed: int) -> DataFrame:
+    """``key``, ``bits``: the sets (``key``, ``shingles``) as sorted 32-bit hashes, others for every seed.
+
+    Equal shingles have equal hashes, so two sets share at least as many hashes as shingles
+    (of equal hashes in one set each counts).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.sort((mixed(np.frombuffer(s, np.uint64) + np.uint64(seed)) >> np.uint64(32)).astype(np.uint32)) for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in out], pa.binary())], ["key", "bits"])
+
+    return sets.select("key", "shingles").mapInArrow(run, "key bigint, bits binary")
 
 
 def band_of(n: Column) -> Column:
@@ -360,13 +393,18 @@ def open_buckets(labelled: DataFrame) -> DataFrame:
     Two documents that share a passage share many buckets and no more, so small
     buckets are told apart by their members, whose hash is then the token.
     """
-    mixed_up = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-    rows = labelled.join(mixed_up.where("lo < hi").select("token", "size"), "token")
-    few = rows.where(F.col("size") <= FEW).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("key", "n", "label"))).alias("members"))
-    small = few.select("members").distinct().select(
-        F.xxhash64("members").alias("token"), F.explode("members").alias("m"), F.size("members").cast("long").alias("size")
+    several = labelled.groupBy("token").agg(
+        F.min("label").alias("lo"),
+        F.max("label").alias("hi"),
+        F.count("*").alias("count"),
+        F.greatest(F.count("*"), F.ceil(F.sum("n") / SET_SIZE)).alias("size"),
     )
-    large = rows.where(F.col("size") > FEW).select("token", "key", "n", "label", "size")
+    rows = labelled.join(several.where("lo < hi").select("token", "count", "size"), "token")
+    few = rows.where(F.col("count") <= FEW).groupBy("token").agg(
+        F.sort_array(F.collect_list(F.struct("key", "n", "label"))).alias("members"), F.first("size").alias("size")
+    )
+    small = few.select("members", "size").distinct().select(F.xxhash64("members").alias("token"), F.explode("members").alias("m"), "size")
+    large = rows.where(F.col("count") > FEW).select("token", "key", "n", "label", "size")
     return small.select("token", "m.key", "m.n", "m.label", "size").unionByName(large)
 
 
@@ -387,24 +425,21 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
     close = materialize(close_by_bits(with_bits), "pairs-1")
     links = materialize(verified(close, _sets(docs, classes, close)), "links-1")
 
-    # rounds of closest partners: a class that has any open pair left names its closest one
-    labelled = _labelled(kept, links)
-    near = materialize(open_pairs(tiles_of(open_buckets(labelled).join(bits, "key")), closest=True), "closest")
+    # classes that size and bitmap still let meet one of another component
+    near = materialize(tile_links(tiles_of(open_buckets(_labelled(kept, links)).join(bits, "key"))), "closest")
     keys = materialize(near.select(F.col("a").alias("key")).union(near.select("b")).distinct(), "open-keys")
-    sets = _sets(docs, classes, near)  # later pairs are among these: labels only ever merge
-    kept, bits = materialize(kept.join(keys, "key"), "open-shingles"), materialize(bits.join(keys, "key"), "open-bits")
-    for _ in range(ROUNDS):
-        found = materialize(verified(closest_pairs(near), sets), "links")
-        if found.isEmpty():
-            break
+    sets, kept = _sets(docs, classes, near), materialize(kept.join(keys, "key"), "open-shingles")
+
+    # all pairs of these, tile by tile
+    seed = 0
+    while True:
+        tiles = tiles_of(open_buckets(_labelled(kept, links)).join(short_hashes(sets, seed), "key"))
+        more = materialize(tile_links(tiles, exact=True).select("a", "b"), "pairs")
+        found = materialize(verified(more, sets), "links")
         links = materialize(links.unionByName(found), "links")
-        labelled = _labelled(kept, links)
-        near = materialize(open_pairs(tiles_of(open_buckets(labelled).join(bits, "key")), closest=True), "closest")
-
-    # last round: all that is still open
-    more = materialize(open_pairs(tiles_of(open_buckets(labelled).join(bits, "key"))), "pairs")
-    found = materialize(verified(more.select("a", "b"), sets), "links")
-    return components(links.unionByName(found))
+        if found.count() == more.count():  # what a tile left out was connected by true links
+            return components(links)
+        seed += 1
 
 
 def _labelled(kept: DataFrame, links: DataFrame) -> DataFrame:
@@ -473,7 +508,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = classify(docs.select("doc_id", "text"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
     first = rows.where("n > 0").groupBy("label").agg(F.min(order).alias("first")).select("first.doc_id", "first.h").alias("f")
-    keyed = docs.withColumn("_h", F.xxhash64("text")).alias("d")
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    kept = keyed.where(worded).join(first, F.expr("d.doc_id <=> f.doc_id AND d._h = f.h"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h").unionByName(keyed.where(~worded).drop("_h"))
+    keyed = whole_rows(docs, doc_id="doc_id", h=F.xxhash64("text"), worded=worded)
+    kept = keyed.alias("d").where("worded").join(first, F.expr("d.doc_id <=> f.doc_id AND d.h = f.h"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "h"]).select("row.*").unionByName(keyed.where(~F.col("worded")).select("row.*"))

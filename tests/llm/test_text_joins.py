@@ -49,6 +49,46 @@ def test_components_of_the_complete_join(docs_of, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == firsts
 
 
+def test_near_misses_in_numbers_give_no_pairs(docs_of, monkeypatch):
+    """Texts at 0.70 to 0.80 of one base, most of them unlike each other: few links and no list of what is just too unlike."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for k in range(90):
+        at = rng.randrange(200)
+        near = [f"k{k}x{i}" if (i - at) % 200 < 22 + k % 8 else w for i, w in enumerate(base)]
+        texts.append(" ".join(near))
+    seen = []
+    links = jaccard_join.tile_links
+
+    def counted(tiles, exact=False):
+        seen.append(jaccard_join.materialize(links(tiles, exact), "seen"))
+        return seen[-1]
+
+    monkeypatch.setattr(jaccard_join, "tile_links", counted)
+    docs = docs_of(texts)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert {k for k, c in got.items() if c == k} == set(_one_of_each(dict(enumerate(texts))))
+    assert all(df.count() <= 10 * len(texts) for df in seen)
+
+
+def test_a_failed_short_hash_is_tried_again(docs_of, monkeypatch):
+    texts = corpus(5)
+    honest, seeds = jaccard_join.short_hashes, []
+
+    def crude(sets, seed):
+        seeds.append(seed)
+        out = honest(sets, seed)
+        # at first every set looks like one of n equal hashes
+        return out if seed else out.withColumn("bits", F.expr("unhex(repeat('01000000', CAST(length(bits) / 4 AS INT)))"))
+
+    monkeypatch.setattr(jaccard_join, "short_hashes", crude)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 0)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs_of(texts)).collect()}
+    assert {k for k, c in got.items() if c == k} == set(_one_of_each(dict(enumerate(texts))))
+    assert len(seeds) > 1
+
+
 @pytest.mark.parametrize("hot", [0, 4096])
 def test_hot_shingles_and_odd_ids(docs_of, monkeypatch, hot):
     monkeypatch.setattr(jaccard_join, "HOT", hot)
