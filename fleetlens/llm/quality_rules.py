@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import WORD, let, words
+from fleetlens.llm.common import WORD, let, whole_rows, words
 from fleetlens.session import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -176,7 +176,6 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, unchanged. Verdicts are found again by content, so equal rows share one."""
     key = F.xxhash64("doc_id", "text", "lang", "source")
-    keyed = docs.withColumn("_key", key)
-    verdicts = quality_verdicts(keyed.select(F.col("_key").alias("doc_id"), "text", "lang", "source"))
-    good = verdicts.where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(good, "_key", "left_semi").drop("_key")
+    verdicts = quality_verdicts(docs.select(key.alias("doc_id"), "text", "lang", "source"))
+    good = verdicts.where("kept").select(F.col("doc_id").alias("key")).distinct()
+    return whole_rows(docs, key=key).join(good, "key", "left_semi").select("row.*")

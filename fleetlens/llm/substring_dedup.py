@@ -30,6 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import whole_rows
 from fleetlens.llm.hashing import WordHashes, count_sketch, sketch_slot, window_hashes
 from fleetlens.session import materialize
 
@@ -371,13 +372,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         return texts.combine(spans, lambda t, s: b" ".join(kept_words(t.split(), list(s))).decode())
 
     spans = repeated_windows(docs.select("doc_id", "text")).groupBy("doc_id", "h").agg(
-        F.collect_set(F.struct("first", "windows")).alias("_spans")
+        F.collect_set(F.struct("first", "windows")).alias("spans")
     )
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    joined = keyed.alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id AND d._h = s.h"), "left")
-    touched = F.col("_spans").isNotNull()
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    same = joined.where(~touched).select(*columns)
-    cut = joined.where(touched).withColumn("_rest", rest(F.col("text").cast("binary"), F.col("_spans")))
-    new = {"text": F.col("_rest"), "n_chars": F.length("_rest").cast("long")}
-    return same.unionByName(cut.select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns]))
+    keyed = whole_rows(docs, doc_id="doc_id", h=F.xxhash64("text"))
+    joined = keyed.alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id AND d.h = s.h"), "left")
+    touched = F.col("spans").isNotNull()
+    same = joined.where(~touched).select("row.*")
+    cut = joined.where(touched).select("row", rest(F.col("row.text").cast("binary"), F.col("spans")).alias("rest"))
+    new = {"text": F.col("rest"), "n_chars": F.length("rest").cast("long")}
+    return same.unionByName(cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))

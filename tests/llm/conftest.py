@@ -20,7 +20,7 @@ def docs_of(spark):
         rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
         full = [(i, t, lang, source, None if t is None else len(t)) for i, t in rows]
         df = spark.createDataFrame(full, DOCS)
-        for name in ("h", "key", "n", "bits", "score", "kept", "spans", "token", "piece", "start", "length", "_h"):
+        for name in ("h", "key", "n", "bits", "score", "kept", "spans", "token", "piece", "start", "length", "_h", "_key", "_spans", "row", "worded", "rest"):
             df = df.selectExpr("*", f"'clash' AS {name}")
         return df.repartition(3)
 
