@@ -38,6 +38,11 @@ REMEMBERED = 600_000
 #: Fixed value: the vocabulary's way of parting text (no two alternatives begin alike, so their order is free).
 PIECES = regex.compile(r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
+#: The same for lower-cased texts that hold only ASCII and the Latin letters up to U+017F, which the plain engine parts faster.
+_LATIN = "a-zß-öø-ÿĀ-ſ"
+LATIN_PIECES = re.compile(rf"[{_LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \t-\r{_LATIN}0-9]+")
+BEYOND_LATIN = re.compile("[^\x00-\x7fß-öø-ÿĀ-ſ]")
+
 
 def byte_symbols() -> list[str]:
     """The character that stands for each byte: itself if printable, else the next one from 256 on."""
@@ -201,7 +206,8 @@ class WordBpe:
 
 def _pieces(text: str) -> list[str]:
     # lower case by single characters: the vocabulary knows no final sigma
-    return PIECES.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return PIECES.findall(plain) if BEYOND_LATIN.search(plain) else LATIN_PIECES.findall(plain)
 
 
 @lru_cache(maxsize=2)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -173,3 +174,14 @@ def test_ids_beyond_doubles_beside_a_null_id(spark):
     big = 2**60 + 1
     placed = packing.pack_pieces(spark.createDataFrame([(big, 0, 0, 5, 1), (None, 0, 0, 6, 2), (big + 1, 0, 0, 7, 3)], packing.PIECE), 10)
     assert {r.doc_id for r in placed.collect()} == {big, big + 1, None}
+
+
+def test_both_ways_of_parting_agree_on_latin_texts():
+    rng = random.Random(2)
+    letters = [chr(i) for i in range(0x180) if not bpe.BEYOND_LATIN.search(chr(i))] + list("''' stmdvelr  09")
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30))).lower()
+        if not bpe.BEYOND_LATIN.search(text):
+            assert bpe.PIECES.findall(text) == bpe.LATIN_PIECES.findall(text)
+    for other in ("naïve×2", "5 µm", "á", "x²", "日本", "œuvre ÷", "a b", "¿qué?"):
+        assert list(bpe._pieces(other)) == bpe.PIECES.findall(unicodedata.normalize("NFC", other).lower())
