@@ -188,7 +188,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, the likeness of neighbours, and links to near classes."""
-    return simhash.fingerprints_and_links(table(spark, sf_dir, "documents"))
+    return simhash.linked_fingerprints(table(spark, sf_dir, "documents"))
 
 
 @query(

@@ -211,6 +211,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     return _documents(rows, _found(rows))
 
 
+def linked_fingerprints(docs: DataFrame) -> DataFrame:
+    """The rows of ``edited_fingerprints`` with ``links``: for ids divisible by 20 the classes of equal fingerprints near them.
+
+    One row per document and no other. A link has the class's ``fingerprint`` (its
+    members are the documents with that fingerprint), ``distance`` in bits and
+    ``documents``, the members without the document itself; the nearest come first.
+    A document's own class is listed if it has other members. Null for the other ids.
+    """
+    rows = _compared(docs)
+    return _documents(rows, _found(rows), listed=True)
+
+
 def fingerprints_and_links(docs: DataFrame) -> DataFrame:
     """The rows of ``edited_fingerprints``, and a row per link of an id divisible by 20 to a class of equal fingerprints.
 
@@ -301,8 +313,11 @@ def _found(rows: DataFrame) -> DataFrame:
     return neighbours(rows.where(ASKS).select("f.*").distinct(), table)
 
 
-def _documents(rows: DataFrame, found: DataFrame) -> DataFrame:
-    near = found.groupBy("q_hi", "q_lo").agg((F.sum("documents") - 1).alias("n_near")).alias("k")
+def _documents(rows: DataFrame, found: DataFrame, listed: bool = False) -> DataFrame:
+    others = F.col("documents") - (F.col("distance") == 0).cast("int")
+    link = F.struct("distance", printed(F.col("hi"), F.col("lo")).alias("fingerprint"), others.alias("documents"))
+    links = [F.array_sort(F.collect_list(F.when(others > 0, link))).alias("links")] if listed else []
+    near = found.groupBy("q_hi", "q_lo").agg((F.sum("documents") - 1).alias("n_near"), *links).alias("k")
     pair = lambda x: (F.col(f"{x}.hi"), F.col(f"{x}.lo"))
     out = rows.alias("r").join(near, F.expr("r.f.hi = k.q_hi AND r.f.lo = k.q_lo"), "left")
     return out.select(
@@ -313,6 +328,6 @@ def _documents(rows: DataFrame, found: DataFrame) -> DataFrame:
         printed(*pair("e")).alias("edited_fingerprint"),
         likeness(pair("f"), pair("e")).alias("near_edited"),
         likeness(pair("f"), pair("after")).alias("near_next"),
-        F.when(F.expr(ASKS), F.col("n_near")).alias("n_near"),
+        *[F.when(F.expr(ASKS), F.col(c)).alias(c) for c in ("n_near", *(["links"] if listed else []))],
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
     ).drop("copy")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from llm.test_oracles import _one_of_each, _without_windows
 
-from fleetlens.llm import hashing, jaccard_join, simhash, substring_dedup
+from fleetlens.llm import hashing, jaccard_join, queries, simhash, substring_dedup
 
 
 def corpus(seed=0, n=120):
@@ -278,3 +278,16 @@ def test_texts_with_a_few_changed_words_are_linked(docs_of):
     assert sum((k, k + j) in linked for k in range(20, 420, 20) for j in (1, 2, 3)) >= 54
     assert all(m is None or m // 20 == k // 20 for k, m in linked) and (20, None) in linked
     assert all(r.n_near == sum(x.near_documents for x in links if x.doc_id == r.doc_id) for r in documents if r.doc_id and r.doc_id % 20 == 0)
+
+
+def test_query_has_a_row_per_document_and_links_beside_it(spark, tmp_path):
+    """No row but those of documents: each has its length and the digest of its edited text."""
+    text = " ".join(f"word{i}" for i in range(90))
+    rows = [(20, text), (21, text), (40, text), (41, None), (60, "other words"), (60, "other words"), (None, text)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op6_simhash"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.n_chars) for r in got) == sorted((k or -1, len(t or "")) for k, t in rows)
+    assert all(len(r.edited_sha256) == 64 for r in got)
+    by = {r.doc_id: r for r in got}
+    assert [tuple(x) for x in by[20].links] == [(0, by[20].fingerprint, 3)] and by[20].n_near == 3
+    assert by[21].links is None and by[41].links is None and [x.documents for x in by[60].links] == [1]
