@@ -196,3 +196,15 @@ def test_shared_folder_comes_from_the_cluster(spark):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(_Cluster())
     assert materialize(spark.range(3).toDF("x")).count() == 3
+
+
+def test_lookups_of_intervals_are_few_and_not_broadcast(spark):
+    """Lookups outnumber the intervals, which are all that Catalyst sees: no list of them may go through the driver."""
+    spans = spark.createDataFrame([(i * 7_919_137, i * 7_919_137 + 7_200_000_000) for i in range(200)], "lo bigint, hi bigint")
+    start = intervals.bucket_of(F.col("lo"), intervals.MICROS)
+    lookups = intervals._lookups(spans, start + 1, intervals.bucket_of(F.col("hi"), intervals.MICROS))
+    assert lookups.groupBy("lo").count().agg(F.max("count")).first()[0] <= 6 * 7  # seven levels are shorter than two hours
+    samples = spark.createDataFrame([("x", 5_000_000, 1.0)], "m string, t bigint, value double")
+    found = intervals.interval_moments(spans, samples, lo="lo", hi="hi", at="t", by=["m"])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [_level" in plan and "SortMergeJoin [_s" in plan and "BroadcastHashJoin [_level" not in plan and "BroadcastHashJoin [_s" not in plan
