@@ -112,7 +112,7 @@ def window_features(
     samples = telemetry.where(F.col("metric").isin(list(metrics)) & F.col("value").isNotNull()).select(
         "gpu", "metric", micros("ts").alias("_at"), "value"
     )
-    joined = range_join(probes, samples, keys=["gpu"], lo="_lo", hi="_ref", at="_at", width_us=span)
+    joined = range_join(probes.hint("merge"), samples, keys=["gpu"], lo="_lo", hi="_ref", at="_at", width_us=span)
     stats = [c for m in metrics for c in _stat_columns(m, lookback_s, period_s)]
     return joined.groupBy("gpu", "_ref").agg(*stats).withColumn("t_ref", F.timestamp_micros("_ref")).drop("_ref")
 

@@ -90,7 +90,7 @@ def prior_scores(flagged: DataFrame, onset_rows: DataFrame, horizon_s: float, *,
         .select("gpu", "ts", (F.col("_t") - span).alias("_lo"), (F.col("_t") - 1).alias("_hi"))
     )
     rows = flagged.withColumnRenamed("horizon_s", "row_horizon_s").withColumn("_at", micros("t_ref"))
-    return range_join(probes, rows, keys=["gpu"], lo="_lo", hi="_hi", at="_at", width_us=span).drop("_lo", "_hi", "_at")
+    return range_join(probes.hint("merge"), rows, keys=["gpu"], lo="_lo", hi="_hi", at="_at", width_us=span).drop("_lo", "_hi", "_at")
 
 
 def detect_misses(
@@ -122,23 +122,22 @@ def detect_misses(
         F.count("*").alias("n_rows_in_window"),
         F.max(place).alias("_last"),
     )
-    pairs = [x for f in feats for x in (F.lit(f), F.col(f).cast("double"))]
-    latest = (
-        flagged.withColumn("t_us", micros("t_ref"))
-        .withColumn("h_ms", (F.col("horizon_s") * 1000).cast("bigint"))
-        .select(
-            "gpu",
-            "budget",
-            place.alias("_last"),
-            F.col(score).alias("last_score"),
-            (F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")).alias("pre_event_features"),
-        )
-        .dropDuplicates(["gpu", "budget", "_last"])
+    rows = flagged.withColumn("t_us", micros("t_ref")).withColumn("h_ms", (F.col("horizon_s") * 1000).cast("bigint")).select(
+        "gpu",
+        "budget",
+        place.alias("_last"),
+        F.col(score).alias("last_score"),
+        *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(feats)],
     )
+    # one of equal rows; the wanted ones are found first, so that only they are compared
+    latest = seen.select("gpu", "ts", "budget", "_last").join(rows, ["gpu", "budget", "_last"]).dropDuplicates(["gpu", "ts", "budget"])
+    pairs = [x for i, f in enumerate(feats) for x in (F.lit(f), F.col(f"_f{i}"))]
+    features_ = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
+    latest = latest.select("gpu", "ts", "budget", "last_score", features_.alias("pre_event_features"))
     budgets = flagged.select("budget").distinct()
     levels = budgets.agg(F.collect_list("budget")).scalar()  # one entry per budget
     events = onset_rows.select("gpu", "ts").distinct().withColumn("budget", F.explode(levels))
-    joined = events.join(seen, ["gpu", "ts", "budget"], "left").join(latest, ["gpu", "budget", "_last"], "left")
+    joined = events.join(seen.drop("_last"), ["gpu", "ts", "budget"], "left").join(latest, ["gpu", "ts", "budget"], "left")
     alerts = F.coalesce("n_alerts_in_window", F.lit(0))
     return joined.select(
         "gpu",

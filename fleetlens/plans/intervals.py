@@ -97,7 +97,8 @@ def exists_within(
         hit = (F.col("_tail") > F.col(start)) | (F.col("_head") <= end)
     else:
         hit = (F.col("_tail") >= F.col(start)) | (F.col("_head") < end)
-    joined = probe.join(ends, [*keys, "_span", "_b"], "left")
+    # Catalyst sizes the buckets by the events alone: merged, or every task would hold them all
+    joined = probe.join(ends.hint("merge"), [*keys, "_span", "_b"], "left")
     return joined.select(*points.columns, F.coalesce(hit, F.lit(False)).alias(out))
 
 

@@ -13,6 +13,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a skewed join is split even when that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # shuffles are cut finely and adaptive execution puts small pieces together, so a task's share,
+    # and with it the memory of its sorts and aggregations, doesn't grow with the input
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "480",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -74,3 +74,13 @@ def test_a_device_with_a_third_of_all_readings_at_any_time(spark):
         inside = [v for ts, _, _, v in hot if 0 <= (row.t_ref - ts).total_seconds() <= 120]
         assert (row.T_count, row.T_last, row.T_max) == (len(inside), inside[-1], max(inside))
         assert row.T_mean == pytest.approx(sum(inside) / len(inside))
+
+
+def test_points_and_buckets_are_merged_not_broadcast(spark, onsets_of):
+    """Both sides grow with the input, but Catalyst takes exploded ones for small; a broadcast is held whole by every task."""
+    faults = onsets_of([(100_000, "a#0"), (200_000, "b#1")])
+    points = ops.candidates(faults, horizons_s=[60.0], control_gpus=["c#0"])
+    tel = spark.createDataFrame([(at(99_000), "a#0", "GPU_TEMP", 1.0)], TEL)
+    for df in (points, ops.window_features(points, tel, ["GPU_TEMP"], lookback_s=600.0)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
