@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +85,7 @@ def sketch_slot(h: np.ndarray) -> np.ndarray:
 
 def sketch_parts(hashes: list[np.ndarray], total: np.ndarray) -> None:
     """Count a batch's hashes into ``total`` (2^SKETCH_BITS slots)."""
-    total += np.bincount(sketch_slot(np.concatenate(hashes)), minlength=len(total)).astype(np.uint32)
+    np.add.at(total, sketch_slot(np.concatenate(hashes)), np.uint32(1))
 
 
 def sketch_rows(total: np.ndarray) -> list[bytes]:
@@ -112,19 +112,6 @@ def merged_sketch(parts: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def count_sketch(docs: DataFrame, hashes_of: Callable[[bytes | None, WordHashes], np.ndarray]) -> np.ndarray:
-    """How many of the texts' hashes fall in each slot; see ``merged_sketch``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
-        for b in batches:
-            sketch_parts([hashes_of(text, hashes) for text in b.column(0).to_pylist()], total)
-        arrays = [pa.array(range(SLICES), pa.int32()), pa.array(sketch_rows(total), pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["slice", "counts"])
-
-    return merged_sketch(docs.select(F.col("text").cast("binary")).mapInArrow(count, "slice int, counts binary"))
-
-
 #: Bits of the row filter (4 MB); more rows only let more of the others through.
 FILTER_BITS = 25
 

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import WORD, whole_rows
+from fleetlens.llm.common import WORD, lean, whole_rows
 from fleetlens.llm.hashing import (
     SKETCH_BITS,
     SLICES,
@@ -117,7 +117,7 @@ def describe(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(empty + parts, names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, DESCRIBED)
+    return rows.mapInArrow(lean(run), DESCRIBED)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -145,7 +145,7 @@ def prefixes(docs: DataFrame, sketch: Broadcast) -> DataFrame:
                 columns.append(np.concatenate(hot))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "key", "n", "hot"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "token bigint, key bigint, n int, hot boolean")
+    return docs.select(F.col("text").cast("binary")).mapInArrow(lean(run), "token bigint, key bigint, n int, hot boolean")
 
 
 def shared_shingles(entries: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return two.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def fits_by_bits(n: np.ndarray, m: np.ndarray, differing: np.ndarray) -> np.ndarray:
@@ -206,7 +206,7 @@ def close_by_bits(pairs: DataFrame) -> DataFrame:
             good = fits_by_bits(na, nb, np.array(d, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good))
 
-    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 class Tile:
@@ -311,7 +311,7 @@ def tile_links(tiles: DataFrame, exact: bool = False) -> DataFrame:
             yield finish()
 
     dealt = tiles.repartition("token", "tile").sortWithinPartitions("token", "tile")
-    pairs = dealt.select("token", "tile", "key", "n", "label", "side", "bits").mapInArrow(run, "a bigint, b bigint, apart bigint")
+    pairs = dealt.select("token", "tile", "key", "n", "label", "side", "bits").mapInArrow(lean(run), "a bigint, b bigint, apart bigint")
     return pairs.groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
@@ -327,7 +327,7 @@ def short_hashes(sets: DataFrame, seed: int) -> DataFrame:
             out = [np.sort((mixed(np.frombuffer(s, np.uint64) + np.uint64(seed)) >> np.uint64(32)).astype(np.uint32)) for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in out], pa.binary())], ["key", "bits"])
 
-    return sets.select("key", "shingles").mapInArrow(run, "key bigint, bits binary")
+    return sets.select("key", "shingles").mapInArrow(lean(run), "key bigint, bits binary")
 
 
 def band_of(n: Column) -> Column:
@@ -469,7 +469,7 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["key", "shingles"])
 
     rows = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("id"), F.col("text").cast("binary").alias("text"))
-    found = rows.mapInArrow(run, "key bigint, shingles binary").join(wanted.select("key"), "key", "left_semi")
+    found = rows.mapInArrow(lean(run), "key bigint, shingles binary").join(wanted.select("key"), "key", "left_semi")
     return materialize(found.dropDuplicates(["key"]), "shingle-sets")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fleetlens.llm.bpe import WordBpe
-from fleetlens.llm.common import texts_of
+from fleetlens.llm.common import lean, texts_of
 from fleetlens.plans.scan import TIE_BITS, row_ranks
 from fleetlens.session import materialize
 
@@ -104,7 +104,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
             arrays = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), PIECE)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,12 +26,11 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import whole_rows
-from fleetlens.llm.hashing import WordHashes, count_sketch, sketch_slot, window_hashes
+from fleetlens.llm.common import give_back, lean, whole_rows
+from fleetlens.llm.hashing import SKETCH_BITS, SLICES, WordHashes, merged_sketch, sketch_parts, sketch_rows, sketch_slot, window_hashes
 from fleetlens.session import materialize
 
 WINDOW = 35
@@ -46,7 +45,7 @@ MOST_SEGMENTS = 4000
 #: Suffixes are sorted by so many words, which is enough to search for shorter patterns.
 DEPTH = 64
 
-SEGMENT = "anchor bigint, digest bigint, doc_id bigint, h bigint, start int, windows int, inner boolean, hot boolean"
+SEGMENT = "anchor bigint, digest bigint, doc_id bigint, h bigint, start int, windows int, inner boolean, slot int, slice int, counts binary"
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
@@ -72,18 +71,17 @@ def segments(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return low[starts], starts, np.diff(np.r_[starts, len(low)]), inner
 
 
-def anchors_of(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    words = (text or b"").split()
-    return segments(hashes.of(words))[0] if len(words) >= WINDOW else np.empty(0, np.uint64)
+def cut_segments(docs: DataFrame) -> DataFrame:
+    """All segments of all rows (see SEGMENT); ``digest`` tells the word sequences apart.
 
-
-def cut_segments(docs: DataFrame, sketch: Broadcast) -> DataFrame:
-    """All segments of all rows (see SEGMENT); ``digest`` tells the word sequences apart."""
+    The same pass counts the anchors: rows with a ``slice`` hold a task's part of the count sketch.
+    """
+    names = [c.split()[0] for c in SEGMENT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.frombuffer(sketch.value, np.uint16)
+        hashes, total = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
             rows: list[np.ndarray] = []
             for k, text in enumerate(b.column(2).to_pylist()):
                 words = (text or b"").split()
@@ -95,25 +93,39 @@ def cut_segments(docs: DataFrame, sketch: Broadcast) -> DataFrame:
                 ends = start + windows + WINDOW - 1
                 digest = [xxhash.xxh64_intdigest(raw[8 * i : 8 * j]) for i, j in zip(start.tolist(), ends.tolist(), strict=True)]
                 rows.append(np.full(len(start), k))
-                parts = (anchor.view(np.int64), np.array(digest, np.uint64).view(np.int64), start, windows, inner)
-                for column, v in zip(columns, (*parts, counts[sketch_slot(anchor)] > HOT), strict=False):
+                parts = (anchor, np.array(digest, np.uint64).view(np.int64), start, windows, inner)
+                for column, v in zip(columns, parts, strict=True):
                     column.append(v)
             if not rows:
                 continue
-            anchor, digest, start, windows, inner, hot = (np.concatenate(c) for c in columns[:6])
+            sketch_parts(columns[0], total)
+            anchor, digest, start, windows, inner = (np.concatenate(c) for c in columns)
             at = pa.array(np.concatenate(rows))
-            arrays = [pa.array(anchor), pa.array(digest), b.column(0).take(at), b.column(1).take(at)]
-            arrays += [pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(inner), pa.array(hot)]
-            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SEGMENT.split(", ")])
+            arrays = [pa.array(anchor.view(np.int64)), pa.array(digest), b.column(0).take(at), b.column(1).take(at)]
+            arrays += [pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(inner)]
+            arrays += [pa.array(sketch_slot(anchor).astype(np.int32)), pa.nulls(len(anchor), pa.int32()), pa.nulls(len(anchor), pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+        kinds = (*(pa.int64(),) * 4, pa.int32(), pa.int32(), pa.bool_(), pa.int32())
+        parts = [pa.array(range(SLICES), pa.int32()), pa.array(sketch_rows(total), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, k) for k in kinds] + parts, names)
 
-    return text_rows(docs).mapInArrow(run, SEGMENT)
+    return text_rows(docs).mapInArrow(lean(run), SEGMENT)
 
 
 def repeated_anchors(cut: DataFrame) -> DataFrame:
-    """The segments whose anchor occurs more than once, or may; one shuffle, hot anchors spread."""
-    salted = cut.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "h", "start"), F.lit(SALTS))).otherwise(0))
+    """The segments whose anchor occurs more than once, or may; one shuffle, hot anchors spread.
+
+    Hot anchors are known by their slots in the count sketch, which has a fixed size.
+    """
+    sketch = merged_sketch(cut.where("slice IS NOT NULL").select("slice", "counts"))
+    crowded = [(int(k), True) for k in np.flatnonzero(sketch > HOT)]
+    rows, hot = cut.where("slice IS NULL").drop("slice", "counts"), F.lit(False)
+    if crowded:
+        rows = rows.join(F.broadcast(cut.sparkSession.createDataFrame(crowded, "slot int, hot boolean")), "slot", "left")
+        hot = F.coalesce("hot", F.lit(False))
+    salted = rows.withColumn("hot", hot).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "h", "start"), F.lit(SALTS))).otherwise(0))
     n = F.count("*").over(Window.partitionBy("anchor", "salt"))
-    return salted.withColumn("n", n).where(F.col("hot") | F.col("inner") | (F.col("n") > 1)).drop("salt", "n", "hot")
+    return salted.withColumn("n", n).where(F.col("hot") | F.col("inner") | (F.col("n") > 1)).drop("salt", "n", "hot", "slot")
 
 
 class WaveletMatrix:
@@ -233,6 +245,8 @@ def search_shards(pieces: DataFrame) -> DataFrame:
             counts.append(c)
         kinds = pa.list_(pa.int32())
         arrays = [table.column("anchor"), table.column("digest"), pa.array(froms, kinds), pa.array(counts, kinds)]
+        del index, found, ends, parts, number
+        give_back()
         return pa.table(arrays, names=["anchor", "digest", "froms", "counts"])
 
     return pieces.groupBy("shard").applyInArrow(search, RUNS).where(F.size("froms") > 0)
@@ -260,14 +274,13 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     schema = "anchor bigint, digest bigint, copies bigint, words binary"
     # equal rows of a table fetch the same segment again
-    return found.select("text", "list").mapInArrow(run, schema).dropDuplicates(["anchor", "digest"])
+    return found.select("text", "list").mapInArrow(lean(run), schema).dropDuplicates(["anchor", "digest"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``h``, ``first``, ``windows``: runs of windows whose words also start elsewhere."""
-    spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(count_sketch(docs, anchors_of).tobytes())
-    seen = materialize(repeated_anchors(cut_segments(docs, sketch)), "segments")
+    cut = materialize(cut_segments(docs), "cut")
+    seen = materialize(repeated_anchors(cut), "segments")
     different = seen.groupBy("anchor", "digest").agg(
         F.count("*").alias("copies"), F.max("inner").alias("inner"), F.max("windows").alias("windows"),
         F.min(F.struct("doc_id", "h", "start")).alias("row"),
@@ -311,7 +324,7 @@ def _crowded(pieces: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["anchor", "digest", "copies", "at", "window"])
 
     schema = "anchor bigint, digest bigint, copies bigint, at int, window bigint"
-    single = pieces.select("anchor", "digest", "copies", "words").mapInArrow(cut, schema)
+    single = pieces.select("anchor", "digest", "copies", "words").mapInArrow(lean(cut), schema)
     often = single.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
     hits = single.join(often, "window").groupBy("anchor", "digest").agg(F.sort_array(F.collect_set("at")).alias("froms"))
     return hits.select("anchor", "digest", "froms", F.transform("froms", lambda _: F.lit(1)).alias("counts"))
@@ -361,7 +374,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-    return removal(docs).select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return removal(docs).select("doc_id", "text", "spans").mapInArrow(lean(run), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

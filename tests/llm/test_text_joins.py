@@ -291,3 +291,18 @@ def test_query_has_a_row_per_document_and_links_beside_it(spark, tmp_path):
     by = {r.doc_id: r for r in got}
     assert [tuple(x) for x in by[20].links] == [(0, by[20].fingerprint, 3)] and by[20].n_near == 3
     assert by[21].links is None and by[41].links is None and [x.documents for x in by[60].links] == [1]
+
+
+def test_one_pass_cuts_and_counts_and_spreads_hot_anchors(docs_of, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 3)  # so that some anchors are hot
+    texts = corpus(seed=5)
+    docs = docs_of(texts)
+    cut = substring_dedup.cut_segments(docs).cache()
+    sketch = hashing.merged_sketch(cut.where("slice IS NOT NULL").select("slice", "counts"))
+    found = cut.where("slice IS NULL")
+    assert int(sketch.sum()) == found.count() and (sketch > 3).any()
+    assert all(sketch[r.slot] >= r.n for r in found.groupBy("anchor", "slot").agg(F.count("*").alias("n")).collect())
+    twice = {r.anchor for r in found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").collect()}
+    kept = substring_dedup.repeated_anchors(cut)
+    assert twice <= {r.anchor for r in kept.collect()} and kept.join(found, ["doc_id", "h", "start"]).count() >= kept.count()
+    check_dedup({r.doc_id: r for r in substring_dedup.dedup_digests(docs).collect()}, dict(enumerate(texts)))
