@@ -11,6 +11,7 @@ from fleetlens.operators import models as model_ops
 from fleetlens.queries import views
 from fleetlens.queries.registry import query
 from fleetlens.queries.views import ISO, half_even, with_views
+from fleetlens.session import materialize
 
 _N_TRAIN = "greatest(1, CAST(round_even(0.7 * n, 0) AS BIGINT))"
 _CUT = f"""o AS (SELECT ref, row_number() OVER (ORDER BY ref) - 1 AS i, count(*) OVER () AS n FROM scored),
@@ -286,7 +287,7 @@ def full_merged_ranking(spark, sf_dir):
 def full_leakage_probe(spark, sf_dir):
     """Both leak guards: the strongest of all features alone, and a logistic model over all of them on permuted labels."""
     features = tuple(_all_features(spark, sf_dir))
-    rows = ops.time_ordered_split(views.points(spark, sf_dir))
+    rows = materialize(ops.time_ordered_split(views.points(spark, sf_dir)), "split")  # read many times below
     early, late = rows.where("is_train").drop("is_train"), rows.where("NOT is_train").drop("is_train")
     permuted = model_ops.permuted_auc(early, late, model_ops.Candidate("logreg", features))
     out = ops.leakage_probe(_full_auc(late, features), permuted)
